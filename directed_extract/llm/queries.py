@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from directed_extract.llm import canonical, ledger, splitting
+from directed_extract.llm import canonical, entity_map, ledger, splitting
 from directed_extract.session import cut, ensure_checkpoint_dir
 
 
@@ -15,6 +15,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = table(spark, sf_dir, "corpus_docs").select("line_id", F.posexplode("entidad").alias("pos", "e"))
+    return each.select("line_id", "pos", F.col("e.texto").alias("texto")).filter("texto is not null")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every typed element that denotes a catalog entry, with the entry."""
+    mapped = entity_map.map_elements(_typed(spark, sf_dir), "texto", table(spark, sf_dir, "entity_catalog"), "concept_id", "texto", "aliases")
+    return mapped.select("line_id", "pos", F.col("concept").alias("concept_id"))
+
+
+def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed values that denote nothing in the catalog, and how often each was typed."""
+    typed = cut(_typed(spark, sf_dir))
+    counts = typed.groupBy("texto").agg(F.count("*").alias("n"))
+    mapped = entity_map.map_values(typed, "texto", table(spark, sf_dir, "entity_catalog"), "concept_id", "texto", "aliases")
+    return counts.join(mapped.select(F.col("value").alias("texto")), "texto", "left_anti")
+
+
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all corpus texts."""
     return splitting.split_oversized(table(spark, sf_dir, "corpus_docs"), "line_id", "texto", table(spark, sf_dir, "split_limits"), "origin")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from directed_extract.llm import queries as q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": q.p2_found,
+    "p2_unmatched": q.p2_unmatched,
     "p5_found": q.p5_found,
     "p5_pieces": q.p5_pieces,
     "p6_found": q.p6_found,
