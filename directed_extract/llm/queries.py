@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from directed_extract.llm import canonical, entity_map, ledger, splitting
+from directed_extract.llm import canonical, entity_map, ledger, pii, splitting
 from directed_extract.session import cut, ensure_checkpoint_dir
 
 
@@ -34,6 +34,22 @@ def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(mapped.select(F.col("value").alias("texto")), "texto", "left_anti")
 
 
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = pii.gazetteer(table(spark, sf_dir, "name_lexicon"), "name", "kind")
+    return pii.find_spans(table(spark, sf_dir, "corpus_docs"), "line_id", "texto", known)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence of personal information in the corpus texts, with its first character (from 1)."""
+    return _spans(spark, sf_dir).select("line_id", "pii_type", (F.col("s") + 1).alias("start_pos"))
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus texts with placeholders."""
+    spans = cut(_spans(spark, sf_dir))
+    return pii.redact(table(spark, sf_dir, "corpus_docs"), "line_id", "texto", spans)
+
+
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all corpus texts."""
     return splitting.split_oversized(table(spark, sf_dir, "corpus_docs"), "line_id", "texto", table(spark, sf_dir, "split_limits"), "origin")

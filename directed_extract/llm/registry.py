@@ -11,6 +11,8 @@ from directed_extract.llm import queries as q
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": q.p2_found,
     "p2_unmatched": q.p2_unmatched,
+    "p4_found": q.p4_found,
+    "p4_redacted": q.p4_redacted,
     "p5_found": q.p5_found,
     "p5_pieces": q.p5_pieces,
     "p6_found": q.p6_found,
