@@ -157,7 +157,8 @@ def _phones(text: str) -> Iterator[tuple[int, int, list[int], str]]:
         odd = _DATE.fullmatch(span) or _THOUSANDS.fullmatch(span)
         cue, label, other = CUES["phone"].search(left), CUES["identity"].search(left), _OTHER.search(left)
         other = other or re.search(r"(?<!\w)[A-Z]{1,3}[ -]?$", left) or re.match(r"-?[A-Z](?!\w)", text[e : e + 3])
-        votes = [_vote(_PHONE_PLAN.fullmatch(span) and not odd, odd), _vote(cue, label), _vote(False, other), _vote(re.match(r",? (?:for the report|ext)", text[e : e + 16]))]
+        plan = _PHONE_PLAN.fullmatch(span) and not odd
+        votes = [_vote(plan, not plan), _vote(cue and not label, label), _vote(False, other or label), _vote(re.match(r",? (?:for the report|ext)", text[e : e + 16]))]
         yield s, e, votes, re.sub(r"\d+", lambda d: str(len(d[0])), span)
 
 
@@ -302,7 +303,7 @@ class _Names:
         bare = re.sub(rf"(?:{TITLES})\.? $", "", left)
         disease = _DISEASE_AFTER.match(right) or (len(parts) == 1 and CUES["disease"].search(left))
         several = len(parts) > 1
-        votes = [_vote(several and known, not several and not title), _vote(title), _vote(CUES["name"].search(bare)), _vote(_NAME_AFTER.match(right)), _vote(False, disease), _vote(several, disease and not several)]
+        votes = [_vote(several and known, not several and not title), _vote(title), _vote(CUES["name"].search(bare)), _vote(_NAME_AFTER.match(right)), _vote(False, disease), _vote(several, not several and not title)]
         shape = "".join("I" if len(self.tokens[i][0]) == 1 else "L" if self.listed(i) else "O" for i in parts) + ("," if "," in self.text[s:e] else "")
         return s, e, votes, shape
 
