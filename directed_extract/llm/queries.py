@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from directed_extract.llm import canonical, entity_map, ledger, pii, splitting
+from directed_extract.llm import canonical, entity_map, ledger, mixing, packing, pii, sizes, splitting
 from directed_extract.session import cut, ensure_checkpoint_dir
 
 
@@ -85,6 +85,52 @@ def p6_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.read().select(F.col("first_id").alias("keep_id"), F.col("n").alias("n_copies")).join(first, "keep_id")
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> list[tuple[int, int, DataFrame]]:
+    tokens = cut(sizes.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    specs = table(spark, sf_dir, "pack_specs").filter("capacity_tokens > 0").orderBy("spec_id").limit(1000).collect()
+    return [(r.spec_id, r.capacity_tokens, packing.pack(tokens, "doc_id", "tokens", r.capacity_tokens)) for r in specs]
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in its container, for each capacity of pack_specs."""
+    return _union([d.select(F.lit(i).alias("spec_id"), "*") for i, _, d in _packed(spark, sf_dir)])
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the containers of each capacity are filled."""
+    return _union([packing.fill_report(d, c).select(F.lit(i).alias("spec_id"), F.lit(c).alias("capacity_tokens"), "*") for i, c, d in _packed(spark, sf_dir)])
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents")
+    tokens = sizes.token_counts(docs, "doc_id", "text")
+    return mixing.mix(cut(docs.select("doc_id", "source").join(tokens, "doc_id")), "doc_id", "source", "tokens", table(spark, sf_dir, "mix_targets"))
+
+
+def p8_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The uses of documents that make up the blend."""
+    return _mix(spark, sf_dir)[0]
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares of each source."""
+    return _mix(spark, sf_dir)[1]
+
+
+def p8_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Natural shares, and those tempered to the entropy of the targets."""
+    docs = table(spark, sf_dir, "documents")
+    tokens = docs.select("doc_id", "source").join(sizes.token_counts(docs, "doc_id", "text"), "doc_id")
+    return mixing.temperature_report(tokens, "source", "tokens", table(spark, sf_dir, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents that look the same and are not equal."""
     return canonical.looking_alike(table(spark, sf_dir, "documents"), "doc_id", "text")

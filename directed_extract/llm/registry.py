@@ -17,6 +17,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_pieces": q.p5_pieces,
     "p6_found": q.p6_found,
     "p6_kinds": q.p6_kinds,
+    "p7_packed": q.p7_packed,
+    "p7_report": q.p7_report,
+    "p8_blend": q.p8_blend,
+    "p8_report": q.p8_report,
+    "p8_temperature": q.p8_temperature,
     "p9_found": q.p9_found,
     "p9_forms": q.p9_forms,
 }
