@@ -16,16 +16,23 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def parse_strict(text: Column) -> Column:
+    """VARIANT of a text that is one JSON value and nothing else, otherwise NULL.
+
+    The parser alone accepts text after the value. In brackets such text is an error or a second element.
+    """
+    v = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return let(v, lambda x: F.when(F.try_variant_get(x, "$[1]", "variant").isNull(), F.try_variant_get(x, "$[0]", "variant")))
+
+
 def parse_object(raw: Column) -> Column:
     """VARIANT of a text that is one JSON object and nothing else, otherwise NULL.
 
-    The parser alone accepts text after the value. In brackets such text is an error (or a second element); the last
-    character must be the closing brace. Blank, cut off, single-quoted or otherwise invalid text, other JSON values and
-    objects that name a key twice give NULL.
+    Blank, cut off, single-quoted or otherwise invalid text, other JSON values and objects that name a key twice give
+    NULL.
     """
-    boxed = F.regexp_replace(raw, r"(?s)^[\s\x{FEFF}]*(\{.*\})\s*$", r"[$1]")
-    v = F.try_parse_json(F.when(boxed.startswith("[{") & boxed.endswith("}]"), boxed))
-    return let(v, lambda x: F.when(F.try_variant_get(x, "$[1]", "variant").isNull(), F.try_variant_get(x, "$[0]", "variant")))
+    trimmed = F.regexp_replace(raw, r"(?s)^[\s\x{FEFF}]*(\{.*\})\s*$", r"$1")
+    return parse_strict(F.when(trimmed.startswith("{") & trimmed.endswith("}"), trimmed))
 
 
 def kind(v: Column) -> Column:
@@ -38,6 +45,6 @@ def unwrap_text(v: Column) -> Column:
 
     def inner(x: Column) -> Column:
         s = F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
-        return F.coalesce(F.try_parse_json(F.regexp_extract(s, r"(?s)^\s*(\{.*\}|\[.*\])\s*$", 1)), x)
+        return F.coalesce(parse_strict(F.nullif(F.regexp_extract(s, r"(?s)^\s*(\{.*\}|\[.*\])\s*$", 1), F.lit(""))), x)
 
     return let(v, inner)

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from directed_extract.plans import corpus
+from directed_extract.plans import corpus, extraction, oracle
 
-FLAGSHIP = "p1_found"
+FLAGSHIP = "accepted_entities"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": corpus.p1_found,
     "p1_report": corpus.p1_report,
     "p3_found": corpus.p3_found,
+    **{name: getattr(extraction, name) for name in [*oracle.ORACLES, "pipeline_accepted"]},
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracle.ORACLES)
