@@ -22,7 +22,7 @@ def window_starts(n: Column, target: int, overlap: int, most: int = MOST_WINDOWS
     and advance by one. An overlap that is not below the target is halved to it. Only the first ``most`` are kept.
     """
     overlap = overlap if overlap < target else max(1, target // 2)
-    step = target - overlap
+    step = max(1, target - overlap)
     last = F.when(n <= target, F.lit(0)).otherwise(F.ceil((n - target) / F.lit(step))).cast("int")
     regular = F.transform(F.sequence(F.lit(0), last), lambda i: i * step)
     low = F.greatest(n - overlap, last * step + 1)

@@ -102,7 +102,9 @@ def infer_structure(df: DataFrame, raw: str, maps: Iterable[str] = (), lists: It
             if len(seen) > 100_000:  # an undeclared map: its keys must not pile up
                 seen = _folded(seen, max_fields)
         seen = _folded(seen, max_fields)
-        yield pd.DataFrame({"path": [json.dumps(p) for p, _ in seen], "kind": [k for _, k in seen], "n": [int(n) for n in seen.values()]})
+        if seen:
+            rows = [(json.dumps(p), k, int(n)) for (p, k), n in seen.items()]
+            yield pd.DataFrame(rows, columns=["path", "kind", "n"]).astype({"path": object, "kind": object})
 
     found = df.select(F.col(raw).cast("string").alias("raw")).mapInPandas(scan, "path string, kind string, n bigint")
     rows = found.groupBy("path", "kind").agg(F.sum("n").alias("n")).collect()
