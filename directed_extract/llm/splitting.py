@@ -63,14 +63,11 @@ HIERARCHY = (_sections, _paragraphs, _lines, _sentences, _words)
 
 
 def _atoms(text: str, start: int, end: int, most: int, level: int = 0) -> Iterator[tuple[int, int]]:
-    """Spans of at most ``most`` characters: cut at the coarsest boundary, and only what is still too long at the next."""
-    if end - start <= most:
+    """Spans to be kept whole: cut at the coarsest boundary, and only what is still above ``most`` at the next. A span
+    above it has no boundary at all and may be cut at any character."""
+    if end - start <= most or level == len(HIERARCHY):
         yield start, end
         return
-    if level == len(HIERARCHY):
-        for s in range(start, end, most):
-            yield s, min(s + most, end)
-        return
     cuts = [c for c in HIERARCHY[level](text, start, end) if start < c < end]
     for s, e in zip([start, *cuts], [*cuts, end], strict=True):
         yield from _atoms(text, s, e, most, level + 1)
@@ -88,11 +85,15 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
         return [(0, len(text))]
     overlap = max(0, min(overlap, limit - 1))
     pieces, start, end = [], 0, 0
-    for s, e in _atoms(text, 0, len(text), limit - overlap):
-        if e - start > limit:
-            pieces.append((start, end))
-            start = end - overlap
-        assert s == end
+    for _, e in _atoms(text, 0, len(text), limit - overlap):
+        while e - start > limit:
+            if e - end <= limit - overlap:  # the part fits after the cut
+                cut = end
+            else:
+                cut = start + limit
+            pieces.append((start, cut))
+            start = end = cut
+            start -= overlap
         end = e
     return [*pieces, (start, end)]
 
