@@ -59,7 +59,7 @@ def tokens(text: str) -> list[str]:
 
 
 def edits_allowed(token: str) -> int:
-    """Numbers and very short words none, words of 4 to 7 letters one edit, longer ones two."""
+    """Numbers and very short words none, words of up to 7 letters one edit, longer ones two."""
     return 0 if token.isdecimal() or len(token) < 4 else 1 if len(token) < 8 else 2
 
 
@@ -98,7 +98,8 @@ def _tokens(values: pd.Series) -> pd.Series:
 
 @F.pandas_udf(ArrayType(StringType()))
 def _shortened(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: shortened(v, edits_allowed(v)) if len(v) <= 64 else [v])
+    # two letters more make the longer word that sets the limit
+    return values.map(lambda v: shortened(v, edits_allowed(v + "..")) if len(v) <= 64 else [v])
 
 
 @F.pandas_udf(IntegerType())
@@ -121,7 +122,7 @@ def repair_tokens(seen: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``(token, word, sim)``: the words of the reference list each distinct token may stand for.
 
     ``seen`` has ``token``, ``vocabulary`` ``(word, df)``. A token of the vocabulary stands for itself only. Any other is
-    joined to the words within its edits through the forms with letters left out, which loses no word within that
+    joined to the words within its edits (of the longer of the two) through the forms with letters left out, which loses no word within that
     distance, and checked by the distance itself. A word of at most five letters is only reached this way if it is common:
     rare short words are symbols, of which another letter makes another symbol. Short tokens also stand for the common
     words they begin.
@@ -134,7 +135,8 @@ def repair_tokens(seen: DataFrame, vocabulary: DataFrame) -> DataFrame:
     b = open_words.select("word", F.explode(_shortened("word")).alias("form"))
     near = a.join(b, "form").select("token", "word").distinct().withColumn("d", _distance("token", "word"))
     allowed = lambda c: F.when(F.length(c) < 4, 0).when(F.length(c) < 8, 1).otherwise(2)
-    near = near.filter(F.col("d") <= F.least(allowed(F.col("token")), allowed(F.col("word"))))
+    longer = F.when(F.length("token") > F.length("word"), F.col("token")).otherwise(F.col("word"))
+    near = near.filter((F.col("d") <= allowed(longer)) & (F.length("token") > 3))
     near = near.select("token", "word", (1 - F.lit(EDIT_COST) * F.col("d")).alias("sim"))
     common = words.filter(F.col("df") >= COMMON)
     begins = common.select("word", F.explode(F.sequence(F.lit(1), F.least(F.lit(5), F.length("word") - 1))).alias("k")).select("word", F.expr("left(word, k)").alias("token"))
