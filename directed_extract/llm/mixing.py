@@ -167,8 +167,8 @@ def mix(docs: DataFrame, key: str, source: str, size: str, targets: DataFrame, t
     blend = blend.withColumn("place", F.xxhash64("id", "source", "pass", F.lit(seed))).withColumnRenamed("id", key)
 
     used = blend.groupBy("source").agg(F.sum("tokens").alias("used"), F.max("pass").alias("uses"))
-    whole = used.agg(F.sum("used").alias("whole"))
-    report = how.join(F.broadcast(used), "source", "left").crossJoin(F.broadcast(whole)).select(  # one row a source, and one row
+    joined = how.join(F.broadcast(used), "source", "left").withColumn("whole", F.sum("used").over(Window.partitionBy(F.lit(0))))  # one row a source
+    report = joined.select(
         "source", "target_share", "planned_share", F.col("available").alias("tokens_available"), F.coalesce("used", F.lit(0)).alias("tokens_used"),
         F.coalesce(F.try_divide("used", "whole"), F.lit(0.0)).alias("actual_share"),
         F.coalesce(F.try_divide("used", "available"), F.lit(0.0)).alias("passes"), F.coalesce("uses", F.lit(0)).alias("max_uses"),
