@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -15,6 +15,8 @@ from directed_extract.functions import jsonx
 
 #: An object with more different field names than this, over all records, is a map (its keys are data, not structure).
 MAX_FIELDS = 64
+#: Mark of places where text stood for the list or object it holds; only there is text looked into again.
+WRAPPED = "wrapped"
 #: Levels below this are not looked into; they stay JSON text in a column of the level above.
 MAX_DEPTH = 12
 
@@ -28,6 +30,11 @@ class Node:
     item: Node | None = None
     value: Node | None = None
 
+    @property
+    def real(self) -> set[str]:
+        """The kinds other than null."""
+        return self.kinds - {"null", WRAPPED}
+
     @property
     def is_list(self) -> bool:
         return self.item is not None
@@ -56,7 +63,10 @@ def _kind(v: object) -> str:
 
 
 def _paths(v: object, maps: set[tuple[str, ...]], path: tuple[str, ...], seen: Counter) -> None:
-    v = _unwrapped(v)
+    inner = _unwrapped(v)
+    if inner is not v:
+        seen[path, WRAPPED] += 1
+    v = inner
     seen[path, _kind(v)] += 1
     if len(path) >= MAX_DEPTH:
         return
@@ -169,7 +179,7 @@ def _merge(into: Node, other: Node) -> None:
 def _settle(node: Node) -> None:
     """Where lists and single values meet, the place is a list, and single values are lists of one."""
     if node.item is not None:
-        bare = node.kinds - {"array", "null"}
+        bare = node.real - {"array"}
         if bare or node.fields:
             _merge(node.item, Node(bare, node.fields, None, node.value))
             node.fields, node.value = {}, None
@@ -177,16 +187,19 @@ def _settle(node: Node) -> None:
         _settle(child)
 
 
-def _get(v: Column, name: str) -> Column:
-    return jsonx.unwrap_text(F.try_variant_get(v, "$['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']", "variant"))
+def _opened(v: Column, node: Node) -> Column:
+    return jsonx.unwrap_text(v) if WRAPPED in node.kinds else v
+
+
+def _get(v: Column, name: str, node: Node) -> Column:
+    return _opened(F.try_variant_get(v, "$['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']", "variant"), node)
 
 
 def _scalar(v: Column, kinds: set[str]) -> Column:
     """One type if the place only has one, else text; objects and lists that have no table of their own stay JSON."""
-    real = kinds - {"null"}
-    kind = "bigint" if real == {"bigint"} else "double" if real and real <= {"bigint", "double"} else "boolean" if real == {"boolean"} else None
-    if kind:
-        return F.try_variant_get(v, "$", kind)
+    kind = "bigint" if kinds == {"bigint"} else "double" if kinds and kinds <= {"bigint", "double"} else "boolean" if kinds == {"boolean"} else None
+    if kind or kinds == {"string"}:
+        return F.try_variant_get(v, "$", kind or "string")
     return jsonx.let(v, lambda x: F.when(~F.is_variant_null(x), F.coalesce(F.try_variant_get(x, "$", "string"), F.to_json(x))))
 
 
@@ -194,20 +207,20 @@ def _plain(node: Node, v: Column, prefix: str = "") -> list[Column]:
     """The scalar columns of an object, those of objects inside it with dotted names."""
     out = []
     for name, child in sorted(node.fields.items()):
-        at = _get(v, name)
+        at = _get(v, name, child)
         if child.is_list or child.is_map:
             continue
         if child.fields:
             out += _plain(child, at, f"{prefix}{name}.")
-        if not child.fields or child.kinds - {"object", "null"}:
-            out.append(_scalar(at, child.kinds).alias(f"{prefix}{name}"))
+        if not child.fields or child.real - {"object"}:
+            out.append(_scalar(at, child.real).alias(f"{prefix}{name}"))
     return out
 
 
 def _children(node: Node, path: str, v: Column) -> Iterator[tuple[str, Node, Column]]:
     """The lists and maps directly below a row, also those in objects inside it."""
     for name, child in sorted(node.fields.items()):
-        at, here = _get(v, name), f"{path}.{name}" if path else name
+        at, here = _get(v, name, child), f"{path}.{name}" if path else name
         if child.is_list or child.is_map:
             yield here, child, at
         else:
@@ -217,14 +230,31 @@ def _children(node: Node, path: str, v: Column) -> Iterator[tuple[str, Node, Col
 def _entries(node: Node, v: Column) -> Column:
     """The entries of a list or map as ``array<struct<label, pos, v>>``; a single value is a list of one, null is empty."""
     if node.is_list:
-        several = lambda x: F.coalesce(F.try_variant_get(x, "$", "array<variant>"), F.when(x.isNotNull() & ~F.is_variant_null(x), F.array(x)))
-        items = jsonx.let(v, several)
-        return F.transform(items, lambda x, i: F.struct(i.cast("string").alias("label"), i.alias("pos"), jsonx.unwrap_text(x).alias("v")))
+        listed = lambda x: F.try_variant_get(x, "$", "array<variant>")
+        several = lambda x: F.coalesce(listed(x), F.when(x.isNotNull() & ~F.is_variant_null(x), F.array(x)))
+        items = jsonx.let(v, several) if node.real - {"array"} else listed(v)
+        return F.transform(items, lambda x, i: F.struct(i.cast("string").alias("label"), i.alias("pos"), _opened(x, node.item).alias("v")))
     pairs = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
-    return F.transform(pairs, lambda e, i: F.struct(e["key"].alias("label"), i.alias("pos"), jsonx.unwrap_text(e["value"]).alias("v")))
+    return F.transform(pairs, lambda e, i: F.struct(e["key"].alias("label"), i.alias("pos"), _opened(e["value"], node.value).alias("v")))
+
+
+class Tables(Mapping):
+    """Tables by name, each built when it is asked for."""
+
+    def __init__(self) -> None:
+        self.makers: dict[str, Callable[[], DataFrame]] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self.makers[name]()
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.makers)
+
+    def __len__(self) -> int:
+        return len(self.makers)
 
 
-def flatten(df: DataFrame, raw: str, key: str, structure: Node) -> dict[str, DataFrame]:
+def flatten(df: DataFrame, raw: str, key: str, structure: Node) -> Tables:
     """One flat table for the records (``$``) and one for each list or map at any depth (``a[]``, ``a[].b{}`` ...).
 
     Every row names its record (``key``), its own surrogate key (``row_key``, the labels from the record down, joined by
@@ -238,14 +268,17 @@ def flatten(df: DataFrame, raw: str, key: str, structure: Node) -> dict[str, Dat
     level is exploded from its parent within the row. Columns of ``df`` other than ``raw`` and ``key`` play no part.
     """
     root = df.select(F.col(f"`{key}`").alias("id"), jsonx.parse_object(F.col(f"`{raw}`")).alias("v")).filter("v is not null")
-    out: dict[str, DataFrame] = {}
+    out = Tables()
 
     def shaped(rows: DataFrame, node: Node) -> DataFrame:
         f = _plain(node, F.col("v"))
-        scalars = node.kinds - {"object", "array"}
+        scalars = node.real - {"object", "array"}
+        value = _scalar(F.col("v"), scalars)
+        if node.real & {"object", "array"}:
+            value = F.when(~jsonx.kind(F.col("v")).isin("object", "array"), value)
         return rows.select(
             F.col("id").alias(key), "parent_key", "parent_label", "row_key", "label", "pos", jsonx.kind(F.col("v")).alias("kind"),
-            F.when(jsonx.kind(F.col("v")).isin("object", "array", "null"), F.lit(None)).otherwise(_scalar(F.col("v"), scalars)).alias("value"),
+            value.alias("value"),
             (F.struct(*f) if f else F.lit(None).cast("struct<none:string>")).alias("f"), "parent",
         )
 
@@ -262,12 +295,12 @@ def flatten(df: DataFrame, raw: str, key: str, structure: Node) -> dict[str, Dat
         escaped = F.regexp_replace(F.regexp_replace("e.label", "~", "~0"), "/", "~1")
         own = F.when(F.col("parent_key") == "", escaped).otherwise(F.concat_ws("/", "parent_key", escaped))
         each = each.select("id", "parent_key", "parent_label", "parent", own.alias("row_key"), "e.label", "e.pos", "e.v")
-        out[name] = shaped(each, inner)
+        out.makers[name] = lambda: shaped(each, inner)
         if inner.is_list or inner.is_map:
             grow(each, inner, name, F.col("v"))
         below(each, inner, name)
 
     top = root.select("id", F.lit(None).cast("string").alias("parent_key"), F.lit(None).cast("string").alias("parent_label"), F.lit("").alias("row_key"), F.lit("").alias("label"), F.lit(0).alias("pos"), F.lit(None).cast("struct<none:string>").alias("parent"), "v")
-    out["$"] = shaped(top, structure)
+    out.makers["$"] = lambda: shaped(top, structure)
     below(top, structure, "")
     return out

@@ -49,7 +49,7 @@ PREDICTION_MAPS = ("_multi_strategy.all_detections", "_multi_strategy.entity_str
 PREDICTION_LISTS = ("Entidad", "Entidad[].strategies", "_multi_strategy.all_detections{}", "_multi_strategy.entity_strategies{}", "_multi_strategy.strategies_used")
 
 
-def prediction_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def prediction_tables(spark: SparkSession, sf_dir: str) -> nested.Tables:
     lines = table(spark, sf_dir, "prediction_lines")
     structure = nested.infer_structure(lines, "raw_line", PREDICTION_MAPS, PREDICTION_LISTS)
     return nested.flatten(lines, "raw_line", "pred_id", structure)
