@@ -238,6 +238,17 @@ def _entries(node: Node, v: Column) -> Column:
     return F.transform(pairs, lambda e, i: F.struct(e["key"].alias("label"), i.alias("pos"), _opened(e["value"], node.value).alias("v")))
 
 
+def _once(make: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
+    made: list[DataFrame] = []
+
+    def get() -> DataFrame:
+        if not made:
+            made.append(make())
+        return made[0]
+
+    return get
+
+
 class Tables(Mapping):
     """Tables by name, each built when it is asked for."""
 
@@ -282,25 +293,32 @@ def flatten(df: DataFrame, raw: str, key: str, structure: Node) -> Tables:
             (F.struct(*f) if f else F.lit(None).cast("struct<none:string>")).alias("f"), "parent",
         )
 
-    def below(rows: DataFrame, node: Node, path: str) -> None:
-        f = _plain(node, F.col("v"))
-        rows = rows.withColumn("parent", F.struct(*f) if f else F.lit(None).cast("struct<none:string>"))
+    def below(rows: Callable[[], DataFrame], node: Node, path: str) -> None:
+        def inside() -> DataFrame:
+            f = _plain(node, F.col("v"))
+            return rows().withColumn("parent", F.struct(*f) if f else F.lit(None).cast("struct<none:string>"))
+
+        parents = _once(inside)
         for here, child, at in _children(node, path, F.col("v")):
-            grow(rows, child, here, at)
+            grow(parents, child, here, at)
 
-    def grow(rows: DataFrame, child: Node, here: str, at: Column) -> None:
+    def grow(rows: Callable[[], DataFrame], child: Node, here: str, at: Column) -> None:
         name = here + ("[]" if child.is_list else "{}")
         inner = child.item if child.is_list else child.value
-        each = rows.select("id", F.col("row_key").alias("parent_key"), F.col("label").alias("parent_label"), "parent", F.explode(_entries(child, at)).alias("e"))
-        escaped = F.regexp_replace(F.regexp_replace("e.label", "~", "~0"), "/", "~1")
-        own = F.when(F.col("parent_key") == "", escaped).otherwise(F.concat_ws("/", "parent_key", escaped))
-        each = each.select("id", "parent_key", "parent_label", "parent", own.alias("row_key"), "e.label", "e.pos", "e.v")
-        out.makers[name] = lambda: shaped(each, inner)
+
+        def exploded() -> DataFrame:
+            e = rows().select("id", F.col("row_key").alias("parent_key"), F.col("label").alias("parent_label"), "parent", F.explode(_entries(child, at)).alias("e"))
+            escaped = F.regexp_replace(F.regexp_replace("e.label", "~", "~0"), "/", "~1")
+            own = F.when(F.col("parent_key") == "", escaped).otherwise(F.concat_ws("/", "parent_key", escaped))
+            return e.select("id", "parent_key", "parent_label", "parent", own.alias("row_key"), "e.label", "e.pos", "e.v")
+
+        each = _once(exploded)
+        out.makers[name] = lambda: shaped(each(), inner)
         if inner.is_list or inner.is_map:
             grow(each, inner, name, F.col("v"))
         below(each, inner, name)
 
     top = root.select("id", F.lit(None).cast("string").alias("parent_key"), F.lit(None).cast("string").alias("parent_label"), F.lit("").alias("row_key"), F.lit("").alias("label"), F.lit(0).alias("pos"), F.lit(None).cast("struct<none:string>").alias("parent"), "v")
     out.makers["$"] = lambda: shaped(top, structure)
-    below(top, structure, "")
+    below(lambda: top, structure, "")
     return out
