@@ -122,21 +122,24 @@ def model_detect(docs: DataFrame, key: Column, text: str, candidates: str, strat
 
     Each distinct (model, system prompt, prompt) is asked once, with the temperature of the first strategy that needs it,
     and its answer serves all windows. A first answer that cannot be read is followed by one second prompt, then by the
-    fallback on that answer. Answers are kept in the checkpoint folder, so a repeated stage asks nothing twice.
+    fallback on that answer. Answers are kept in the checkpoint folder, so a repeated stage asks nothing twice. Windows
+    and answers meet by the digest of the prompt; the texts themselves travel once, with the distinct prompts.
     """
     system = system_prompt(strategies)
     base = docs.select(key.alias("doc"), F.col(text).alias("text"), F.array_distinct(F.filter(candidates, lambda c: c.isNotNull())).alias("candidates"))
     windows = chunk_documents(base, "text", strategies, unit).select("doc", "candidates", "strategy", "model", F.explode("chunks").alias("chunk"))
     order = F.create_map(*[x for i, s in enumerate(strategies) for x in (F.lit(s.name), F.lit(i))]) if strategies else F.lit(None).cast("map<string,int>")
-    windows = windows.filter(T.strip(F.col("chunk")) != "").withColumn("prompt", prompt(F.col("model"), F.col("chunk"))).withColumn("ord", order[F.col("strategy")])
+    windows = windows.filter(T.strip(F.col("chunk")) != "").withColumn("ord", order[F.col("strategy")])
+    windows = windows.withColumn("key", prompt_key(F.col("model"), F.lit(system), prompt(F.col("model"), F.col("chunk"))))
     heat = {i: float(s.temperature or 0.0) for i, s in enumerate(strategies)}
-    asked = windows.groupBy("model", "prompt", "chunk").agg(F.min("ord").alias("ord"))
+    asked = windows.groupBy("key").agg(F.min("ord").alias("ord"), F.first("model").alias("model"), F.first("chunk").alias("chunk"))
+    asked = asked.withColumn("prompt", prompt(F.col("model"), F.col("chunk")))
     first = complete_prompts(asked, completer, system, heat).withColumn("parsed", parse_answer(F.col("answer")))
-    good = first.filter("parsed.ok").select("model", "prompt", F.col("parsed.terms").alias("terms"), F.lit(None).cast("string").alias("last"))
-    retry = first.filter("not parsed.ok").select("model", "chunk", "ord", F.col("prompt").alias("asked"), second_prompt(F.col("chunk")).alias("prompt"))
+    good = first.filter("parsed.ok").select("key", F.col("parsed.terms").alias("terms"), F.lit(None).cast("string").alias("last"))
+    retry = first.filter("not parsed.ok").select("key", "model", "ord", second_prompt(F.col("chunk")).alias("prompt"))
     second = complete_prompts(retry, completer, system, heat).withColumn("parsed", parse_answer(F.col("answer"), objects=False))
-    late = second.select("model", F.col("asked").alias("prompt"), F.col("parsed.terms").alias("terms"), F.when(F.size("parsed.terms") == 0, F.col("answer")).alias("last"))
+    late = second.select("key", F.col("parsed.terms").alias("terms"), F.when(F.size("parsed.terms") == 0, F.col("answer")).alias("last"))
     answers = cut(good.unionByName(late))
-    told = windows.join(answers, ["model", "prompt"])
+    told = windows.select("doc", "candidates", "strategy", "key").join(answers, "key")
     terms = F.when(F.col("last").isNotNull(), fallback_terms(F.col("last"), F.col("candidates"))).otherwise(F.col("terms"))
     return told.select("doc", "strategy", F.explode(match_terms(terms, F.col("candidates"))).alias("entity")).distinct()

@@ -201,7 +201,58 @@ def _bounded() -> str:
     return f"{a} <> '' AND regexp_matches(texto, '(?i)' || {left} || regexp_escape({a}) || {right})"
 
 
+TRIM = r"^[\s\x0b\x1c-\x1f\x85\p{Z}]+|[\s\x0b\x1c-\x1f\x85\p{Z}]+$"
+
+
+def pmid_key(c: str) -> str:
+    t = f"regexp_replace({c}, '{TRIM}', '', 'g')"
+    return f"CASE WHEN {t} NOT IN ('', 'None') THEN regexp_replace({t}, '(?i)^(?:pmid\\s*[:#.=]?\\s*)?\\+?0*(\\d+?)(?:\\.0*)?$', '\\1') END"
+
+
+DANGLING = f"""refs AS (
+  SELECT 'detections' AS table_name, det_id AS row_id, {pmid_key('pmid')} AS k, created_at AS t FROM detections
+  UNION ALL SELECT 'benchmark_docs', gold_id, {pmid_key('pmid')}, annotated_at FROM benchmark_docs
+  UNION ALL SELECT 'prediction_lines', pred_id, {pmid_key("(raw_line ->> '$.PMID')")}, written_at FROM prediction_lines WHERE json_valid(raw_line) AND json_type(raw_line) = 'OBJECT'),
+events AS (
+  SELECT k, t, max(present) AS present FROM (
+    SELECT {pmid_key('pmid')} AS k, ingested_at AS t, 1 AS present FROM corpus_docs UNION ALL SELECT {pmid_key('pmid')}, deleted_at, 0 FROM doc_deletions) WHERE k IS NOT NULL GROUP BY k, t),
+judged_refs AS (SELECT r.*, coalesce(e.present, 0) = 0 AS lost FROM refs r ASOF LEFT JOIN events e ON r.k = e.k AND r.t >= e.t WHERE r.k IS NOT NULL)"""
+
+
+def opened(x: str) -> str:
+    return f"(CASE WHEN json_type({x}) = 'VARCHAR' AND regexp_matches({x} ->> '$', '(?s)^\\s*(\\{{.*\\}}|\\[.*\\])\\s*$') AND json_valid({x} ->> '$') THEN cast({x} ->> '$' AS JSON) ELSE {x} END)"
+
+
+def as_list(x: str) -> str:
+    return f"(CASE WHEN {x} IS NULL OR json_type({x}) = 'NULL' THEN []::JSON[] WHEN json_type({x}) = 'ARRAY' THEN json_extract({x}, '$[*]') ELSE [{x}] END)"
+
+
+def leaf(x: str) -> str:
+    return f"(CASE json_type({x}) WHEN 'OBJECT' THEN {x} ->> '$.name' WHEN 'NULL' THEN NULL ELSE {x} ->> '$' END)"
+
+
+def of_map(branch: str) -> str:
+    return f"""SELECT pred_id, '{branch}' AS branch, parent_key, i - 1 AS pos, {leaf('x')} AS leaf FROM (
+  SELECT pred_id, parent_key, i, {opened('items[i]')} AS x FROM (SELECT pred_id, parent_key, items, unnest(range(1, len(items) + 1)) AS i FROM (
+    SELECT pred_id, e.key AS parent_key, {as_list('v')} AS items FROM (SELECT pred_id, e, {opened('e.value')} AS v FROM (
+      SELECT pred_id, unnest(map_entries(cast(m AS MAP(VARCHAR, JSON)))) AS e FROM (SELECT pred_id, {opened(f"json_extract(ms, '$.{branch}')")} AS m FROM multi) WHERE json_type(m) = 'OBJECT')))))"""
+
+
+NESTED = f"""lines AS (SELECT pred_id, cast(raw_line AS JSON) AS j FROM prediction_lines WHERE json_valid(raw_line) AND json_type(raw_line) = 'OBJECT'),
+multi AS (SELECT pred_id, ms FROM (SELECT pred_id, {opened("json_extract(j, '$._multi_strategy')")} AS ms FROM lines) WHERE json_type(ms) = 'OBJECT'),
+elements AS (SELECT pred_id, i - 1 AS place, {opened('items[i]')} AS e FROM (SELECT pred_id, items, unnest(range(1, len(items) + 1)) AS i FROM (
+  SELECT pred_id, {as_list('v')} AS items FROM (SELECT pred_id, {opened("json_extract(j, '$.Entidad')")} AS v FROM lines)))),
+named AS (SELECT pred_id, place, {as_list('v')} AS items FROM (SELECT pred_id, place, {opened("json_extract(e, '$.strategies')")} AS v FROM elements WHERE json_type(e) = 'OBJECT' AND e ->> '$.texto' IS NOT NULL)),
+leaves AS (
+  SELECT pred_id, 'entidad' AS branch, cast(place AS VARCHAR) AS parent_key, i - 1 AS pos, {leaf('x')} AS leaf FROM (
+    SELECT pred_id, place, i, {opened('items[i]')} AS x FROM (SELECT pred_id, place, items, unnest(range(1, len(items) + 1)) AS i FROM named))
+  UNION ALL {of_map('all_detections')} UNION ALL {of_map('entity_strategies')})"""
+
 ORACLES: dict[str, str] = {
+    "p1_found": f"WITH {DANGLING} SELECT table_name, row_id FROM judged_refs WHERE lost",
+    "p1_report": f"""WITH {DANGLING} SELECT table_name, strftime(t, '%Y-%m') AS period, count(*) AS n_refs, count(*) FILTER (lost) AS n_dangling, count(DISTINCT k) FILTER (lost) AS n_keys,
+count(*) FILTER (lost AND k NOT IN (SELECT k FROM events WHERE present = 1)) AS n_never_came FROM judged_refs GROUP BY 1, 2""",
+    "p3_found": f"WITH {NESTED} SELECT pred_id, branch, parent_key, cast(pos AS INT) AS pos, leaf FROM leaves WHERE leaf IS NOT NULL",
     "jsonl_documents": f"WITH {DOCUMENTS} SELECT line_num, pmid, cast(length(txt) AS INT) AS n_chars, cast(len(candidates) AS INT) AS n_candidates, md5(array_to_string(list_transform(candidates, lambda c: coalesce(c, '')), '|')) AS candidates_md5 FROM docs",
     "documents_limit": f"WITH {DOCUMENTS} SELECT line_num, pmid FROM docs ORDER BY line_num LIMIT 100",
     "usable_texts": f"SELECT line_id, CASE WHEN length(texto) > 200 THEN left(texto, 200) || '...' ELSE texto END AS preview FROM corpus_docs WHERE {strip('texto')} <> ''",

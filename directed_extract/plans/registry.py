@@ -10,10 +10,8 @@ from directed_extract.plans import corpus, extraction, oracle
 
 FLAGSHIP = "accepted_entities"
 
+CORPUS = ("p1_found", "p1_report", "p3_found")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": corpus.p1_found,
-    "p1_report": corpus.p1_report,
-    "p3_found": corpus.p3_found,
-    **{name: getattr(extraction, name) for name in [*oracle.ORACLES, "pipeline_accepted"]},
+    name: getattr(corpus if name in CORPUS else extraction, name) for name in [*oracle.ORACLES, "pipeline_accepted"]
 }
 ORACLES: dict[str, str] = dict(oracle.ORACLES)
