@@ -26,3 +26,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_forms": q.p9_forms,
 }
 ORACLES: dict[str, str] = {}
+ORACLES["p5_found"] = """SELECT line_id FROM corpus_docs c LEFT JOIN split_limits l ON l.origin = c.origin
+WHERE length(texto) > coalesce(l.max_chars, (SELECT max_chars FROM split_limits WHERE origin = 'default'))"""
+_BARE = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '', 'g')"
+_KINDS = f"""kinds AS (
+  SELECT cand_id, raw_record, CASE WHEN json_valid(raw_record) AND json_type(raw_record) = 'OBJECT' THEN 'flat:' || array_to_string(list_sort(
+    list_transform(map_entries(cast(cast(raw_record AS JSON) AS MAP(VARCHAR, JSON))), lambda e: {_BARE.format('e.key')} || chr(1) || coalesce({_BARE.format("(e.value ->> '$')")}, chr(2)))), chr(3)) ELSE 'raw:' || raw_record END AS kind
+  FROM candidate_lines WHERE raw_record IS NOT NULL),
+firsts AS (SELECT *, min(cand_id) OVER (PARTITION BY kind) AS keep_id, count(*) OVER (PARTITION BY kind) AS n FROM kinds)"""
+ORACLES["p6_found"] = f"WITH {_KINDS} SELECT keep_id, cand_id AS copy_id FROM firsts WHERE cand_id > keep_id"
+ORACLES["p6_kinds"] = f"WITH {_KINDS} SELECT keep_id, n AS n_copies, raw_record FROM firsts WHERE cand_id = keep_id"
