@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import DataFrame
@@ -39,6 +40,8 @@ def parser() -> argparse.ArgumentParser:
 def problems(args: argparse.Namespace) -> list[str]:
     """What is wrong with the arguments."""
     out = []
+    named = (args.input_jsonl, args.benchmark_jsonl) if args.command == "extract" else (args.predictions, args.reference)
+    out += [f"no such file: {p}" for p in named if p and "://" not in p and not os.path.exists(p)]
     if args.command == "extract":
         if args.confidence_threshold is not None and not 0 <= args.confidence_threshold <= 1:
             out.append("the confidence threshold must be between 0 and 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from directed_extract.functions.jsonx import let, parse_object
 from directed_extract.functions.text import strip
+from directed_extract.session import cut
 
 #: Schema of prediction files for the strict reader.
 PREDICTIONS = (
@@ -75,6 +76,15 @@ def predictions_from_lines(lines: DataFrame, raw: str, doc: str, file: str) -> D
     return rows.filter("entities is not null")
 
 
+def read_prediction_files(spark: SparkSession, glob: str) -> DataFrame:
+    """Predictions of all files that a pattern names, by file name, as :func:`predictions_from_lines` gives them.
+
+    Lines get a number that is unique over all files and fixed once the lines are written to the checkpoint folder.
+    """
+    lines = spark.read.text(glob).select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line"))
+    return predictions_from_lines(cut(lines), "value", "line", "file")
+
+
 def read_documents(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
     return limited(documents_from_lines(numbered_lines(spark, path), "value", "line_num"), limit)
 

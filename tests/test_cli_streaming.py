@@ -1,8 +1,9 @@
 import json
 
 from directed_extract import cli, config
+from directed_extract.operators.grid import file_parameters, file_profile
 from directed_extract.sources.completer import StaticCompleter
-from directed_extract.sources.jsonl import documents_from_lines, read_documents, read_strict, write_lines
+from directed_extract.sources.jsonl import documents_from_lines, read_documents, read_prediction_files, read_strict, write_lines
 from directed_extract.streaming.documents import start_extraction, stream_lines
 
 DOCS = [{"PMID": "1", "Texto": "The flu came.", "Entidad": [{"texto": "flu"}, {"texto": "gene"}]}, {"PMID": "2", "Texto": "Nothing", "Entidad": []}]
@@ -10,7 +11,7 @@ DOCS = [{"PMID": "1", "Texto": "The flu came.", "Entidad": [{"texto": "flu"}, {"
 
 def test_arguments():
     args = cli.parser().parse_args(["extract", "--input_jsonl", "x", "--strategies", "llama32_balanced", "--s1_target", "200", "--confidence_threshold", "2", "--limit", "-1"])
-    assert len(cli.problems(args)) == 2
+    assert len(cli.problems(args)) == 3
     s = cli.chosen_strategies(args)
     assert [x.name for x in s] == ["llama32_balanced"] and (s[0].chunk_min, s[0].chunk_max) == (100, 400) and config.STRATEGIES[1].chunk_target == 60
 
@@ -25,6 +26,14 @@ def test_predictions_round_trip(spark, tmp_path):
     assert back["2"].Entidad == [] and back["1"]._multi_strategy.all_detections["regex"] == ["flu"] and back["1"]._multi_strategy.confidence_thresholds["min_accept"] == 0.5
 
 
+def test_files_by_pattern(spark, tmp_path):
+    for chunk in (20, 40):
+        (tmp_path / f"results_qwen_n2c2_chunk{chunk}_ov10.jsonl").write_text("\n".join(map(json.dumps, DOCS)))
+    (tmp_path / "other.txt").write_text("{}")
+    p = read_prediction_files(spark, str(tmp_path / "results_*_n2c2_chunk*_ov*.jsonl"))
+    assert {(r.model, r.chunk, r.docs, r.entities) for r in file_parameters(file_profile(p), "file").collect()} == {("qwen", 20, 2, 2), ("qwen", 40, 2, 2)}
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for i, d in enumerate(DOCS):
