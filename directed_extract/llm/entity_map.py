@@ -183,9 +183,10 @@ def map_values(values: DataFrame, value: str, reference: DataFrame, entry: str,
 def map_elements(elements: DataFrame, value: str, reference: DataFrame, entry: str, name: str, aliases: str | None = None) -> DataFrame:
     """The rows of ``elements`` whose ``value`` denotes an entry, with ``concept`` and ``score``.
 
-    Only distinct values are mapped. A value that is a third of all rows is joined back by broadcast.
+    Only distinct values are mapped. A value that is a third of all rows is joined back by broadcast. Columns of
+    ``elements`` that are called like the new ones give way to them.
     """
-    rows = cut(elements)
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"))
-    mapped = cut(map_values(rows, value, reference, entry, name, aliases).join(counts, "value").withColumnRenamed("value", value))
-    return join_groups(rows, mapped, value, "n").drop("n")
+    rows = cut(elements.drop("concept", "score"))
+    counts = rows.filter(F.col(f"`{value}`").isNotNull()).groupBy(F.col(f"`{value}`").alias("value")).agg(F.count("*").alias("_rows"))
+    mapped = map_values(rows, value, reference, entry, name, aliases).join(counts, "value").withColumnRenamed("value", value)
+    return join_groups(rows, cut(mapped), value, "_rows").drop("_rows")

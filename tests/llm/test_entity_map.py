@@ -24,7 +24,7 @@ def catalog(spark):
 
 def test_mapping(spark):
     rows = [(i, t) for i, (t, _) in enumerate(CASES)] + [(900, None), (901, CASES[0][0]), (902, CASES[0][0])]
-    df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "id bigint, texto string, concept_id string").drop("concept_id")
+    df = spark.createDataFrame([(i, t, "clash", 7, "v", "x") for i, t in rows], "id bigint, texto string, concept string, n int, value string, concept_id string")
     got = {r.id: r.concept for r in E.map_elements(df, "texto", catalog(spark), "concept_id", "texto", "aliases").collect()}
     want = {i: c for i, (_, c) in enumerate(CASES) if c} | {901: "C1", 902: "C1"}
     # two names make "type" no common word here, so its abbreviation is not resolved
