@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import sys
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
@@ -17,8 +18,8 @@ from directed_extract.functions import jsonx
 MAX_FIELDS = 64
 #: Mark of places where text stood for the list or object it holds; only there is text looked into again.
 WRAPPED = "wrapped"
-#: Levels below this are not looked into; they stay JSON text in a column of the level above.
-MAX_DEPTH = 12
+#: The parser's own limit: what is nested deeper is no JSON to it. The walk must be able to follow.
+PARSER_DEPTH = 1000
 
 
 @dataclass
@@ -67,9 +68,9 @@ def _paths(v: object, maps: set[tuple[str, ...]], path: tuple[str, ...], seen: C
     if inner is not v:
         seen[path, WRAPPED] += 1
     v = inner
+    if len(path) > PARSER_DEPTH:
+        raise ValueError("nested deeper than the parser reads")
     seen[path, _kind(v)] += 1
-    if len(path) >= MAX_DEPTH:
-        return
     if isinstance(v, list):
         for x in v:
             _paths(x, maps, (*path, "[]"), seen)
@@ -101,14 +102,17 @@ def infer_structure(df: DataFrame, raw: str, maps: Iterable[str] = (), lists: It
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 10 * PARSER_DEPTH))
         for batch in batches:
             for text in batch["raw"]:
                 try:
                     record = json.loads(text)
+                    if isinstance(record, dict):
+                        own: Counter = Counter()
+                        _paths(record, declared, (), own)
+                        seen.update(own)
                 except (TypeError, ValueError, RecursionError):
                     continue
-                if isinstance(record, dict):
-                    _paths(record, declared, (), seen)
             if len(seen) > 100_000:  # an undeclared map: its keys must not pile up
                 seen = _folded(seen, max_fields)
         seen = _folded(seen, max_fields)
@@ -119,6 +123,7 @@ def infer_structure(df: DataFrame, raw: str, maps: Iterable[str] = (), lists: It
     found = df.select(F.col(raw).cast("string").alias("raw")).mapInPandas(scan, "path string, kind string, n bigint")
     rows = found.groupBy("path", "kind").agg(F.sum("n").alias("n")).collect()
     seen = _folded(Counter({(tuple(json.loads(r.path)), r.kind): r.n for r in rows}), max_fields)
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 10 * PARSER_DEPTH))
     root = Node()
     for path, kind in seen:
         _at(root, path).kinds.add(kind)

@@ -47,3 +47,12 @@ def test_many_field_names_become_a_map(spark):
 def test_deep_and_wide_record(spark):
     wide = json.dumps({"a": [{"b": list(range(50))} for _ in range(200)]})
     assert tables(spark, [wide, wide])["a[].b[]"].count() == 20_000
+
+
+def test_twenty_levels(spark):
+    raw = "[7]"
+    for i in range(20):
+        raw = '{"k%d": %s}' % (i, raw)
+    t = tables(spark, [raw, '{"a": ' + "[" * 3000 + "]" * 3000 + "}"])
+    name = ".".join(f"k{i}" for i in reversed(range(20))) + "[]"
+    assert [r.value for r in t[name].collect()] == [7]
