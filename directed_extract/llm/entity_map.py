@@ -53,7 +53,7 @@ def tokens(text: str) -> list[str]:
         if p in ROMAN and (out and out[-1] in NUMBER_WORDS or out and len(p) > 1):
             p = ROMAN[p]
         elif p.isdecimal():
-            p = str(int(p[:400]))
+            p = p.lstrip("0") or "0"
         out.append(p)
     return out
 
@@ -99,7 +99,7 @@ def _tokens(values: pd.Series) -> pd.Series:
 @F.pandas_udf(ArrayType(StringType()))
 def _shortened(values: pd.Series) -> pd.Series:
     # two letters more make the longer word that sets the limit
-    return values.map(lambda v: shortened(v, edits_allowed(v + "..")) if len(v) <= 64 else [v])
+    return values.map(lambda v: shortened(v, edits_allowed(v + "..")))
 
 
 @F.pandas_udf(IntegerType())
@@ -131,7 +131,9 @@ def repair_tokens(seen: DataFrame, vocabulary: DataFrame) -> DataFrame:
     foreign = cut(seen.join(vocabulary, seen.token == vocabulary.word, "left_anti").filter(~F.col("token").rlike(r"^\d+$")))
     words = vocabulary.filter(~F.col("word").rlike(r"^\d+$"))
     open_words = words.filter((F.length("word") > 5) | (F.col("df") >= COMMON))
-    a = foreign.select("token", F.explode(_shortened("token")).alias("form"))
+    longest = open_words.agg(F.max(F.length("word"))).first()[0] or 0
+    in_reach = foreign.filter(F.length("token") <= longest + 2)  # a longer one has no word within two edits
+    a = in_reach.select("token", F.explode(_shortened("token")).alias("form"))
     b = open_words.select("word", F.explode(_shortened("word")).alias("form"))
     near = a.join(b, "form").select("token", "word").distinct().withColumn("d", _distance("token", "word"))
     allowed = lambda c: F.when(F.length(c) < 4, 0).when(F.length(c) < 8, 1).otherwise(2)
