@@ -128,7 +128,8 @@ def repair_tokens(seen: DataFrame, vocabulary: DataFrame) -> DataFrame:
     words they begin.
     """
     same = seen.join(vocabulary, seen.token == vocabulary.word, "left_semi").select("token", F.col("token").alias("word"), F.lit(1.0).alias("sim"))
-    foreign = cut(seen.join(vocabulary, seen.token == vocabulary.word, "left_anti").filter(~F.col("token").rlike(r"^\d+$")))
+    parts = int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work for each token
+    foreign = cut(seen.join(vocabulary, seen.token == vocabulary.word, "left_anti").filter(~F.col("token").rlike(r"^\d+$")).repartition(parts, "token"))
     words = vocabulary.filter(~F.col("word").rlike(r"^\d+$"))
     open_words = words.filter((F.length("word") > 5) | (F.col("df") >= COMMON))
     longest = open_words.agg(F.max(F.length("word"))).first()[0] or 0
