@@ -321,10 +321,12 @@ def candidates(text: str, known: dict[str, str]) -> list[Candidate]:
         return spans
 
     taken = add("email", _emails(text))
-    if re.search(r"\d{3}", text):
+    digits = len(re.findall(r"\d", text))
+    if digits >= 7:  # the fewest of a phone number, in groups of any length
         add("phone", _phones(text))
+    if re.search(r"\d{3}", text):  # every form of identity has three in a row
         add("identity", _identities(text))
-    if re.search(r"\d", text):
+    if digits:
         taken += add("address", _addresses(text))
     add("name", _Names(text, known, taken).spans())
     return out

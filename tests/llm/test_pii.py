@@ -71,3 +71,9 @@ def test_classifier_held_out():
 
 def test_long_text_without_candidates():
     assert candidates("a" * 300_000, KNOWN) == [] and candidates("", KNOWN) == []
+
+
+@pytest.mark.parametrize("number", ["+33 1 99 00 44 46", "01 99 00 19 73", "01.99.00.37.45", "5-55-01-04"])
+def test_phone_alone_in_groups_of_two_digits(number):
+    text = f"For the report, ask at {number}."
+    assert [(c.kind, text[c.start : c.end]) for c in candidates(text, KNOWN)] == [("phone", number)]
