@@ -46,7 +46,10 @@ def _deep(values: pd.Series) -> pd.Series:
         if v is None:
             return None
         try:
-            return json.dumps(_nested(json.loads(v)), ensure_ascii=False)
+            record = json.loads(v)
+            if not any(isinstance(x, dict | list) for x in record.values()):
+                return None  # only text that looks nested: flat, as its copies in another dress
+            return json.dumps(_nested(record), ensure_ascii=False)
         except (ValueError, RecursionError):
             return None
 

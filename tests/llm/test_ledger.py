@@ -28,6 +28,14 @@ def test_kinds(spark):
     assert keyed(spark, [(1, None)]).first().key is None
 
 
+def test_brackets_in_text_are_not_nesting(spark):
+    plain = '{"PMID": "12", "texto": "early onset"}'
+    dressed = [f'{{"PMID": "12", "texto": "{t}"}}' for t in ("[[early_onset]]", "early, [onset]", "early: {onset}", "early [{onset", "{early}:[onset]")]
+    assert len({bytes(r.key) for r in keyed(spark, list(enumerate([plain, *dressed]))).collect()}) == 1
+    nested = ['{"PMID": "12", "texto": ["[[early_onset"]}', '{"texto": ["early onset"], "pmid": 12}']
+    assert len({bytes(r.key) for r in keyed(spark, list(enumerate([plain, *nested]))).collect()}) == 2
+
+
 def test_incremental_ledger(spark, tmp_path):
     book = Ledger(spark, str(tmp_path / "book"), buckets=4)
     assert book.read().count() == 0
