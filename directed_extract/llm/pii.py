@@ -14,7 +14,8 @@ from pyspark.sql.types import DoubleType, StringType
 from directed_extract.llm import pii_labels
 from directed_extract.session import cut
 
-#: Candidates the classifier is trained on, at most. Which ones depends on a hash of text and place, not on order.
+#: Candidates the classifiers are trained on, at most, shared out among the types. Which ones depends on a hash of text and
+#: place, not on order.
 TRAIN_ROWS = 40_000
 #: Names of the gazetteer sent to every worker, at most; a longer list must be cut down by its owner first.
 MAX_NAMES = 500_000
@@ -22,6 +23,8 @@ MAX_NAMES = 500_000
 ACCEPT = 0.5
 EM_ROUNDS = 60
 EPOCHS = 30
+#: Hashes are taken modulo this, so that a share of any size can be told.
+_HASHES = 1 << 62
 
 
 @dataclass(frozen=True)
@@ -107,23 +110,34 @@ def candidate_spans(df: DataFrame, key: str, text: str, known: dict[str, str]) -
     return texts.mapInPandas(scan, f"id {kind}, kind string, s int, e int, votes array<int>, features array<int>")
 
 
-def fit(candidates: DataFrame, train_rows: int = TRAIN_ROWS) -> dict[str, np.ndarray]:
-    """A classifier for each type of span.
+def quotas(counts: dict[str, int], rows: int) -> dict[str, int]:
+    """``rows`` shared out evenly: a type with fewer takes all it has, and the others share what it leaves."""
+    out: dict[str, int] = {}
+    for i, kind in enumerate(sorted(counts, key=lambda k: (counts[k], k))):
+        out[kind] = min(counts[kind], (rows - sum(out.values())) // (len(counts) - i))
+    return out
+
+
+def fit(candidates: DataFrame, train_rows: int = TRAIN_ROWS) -> dict[str, np.ndarray | Reliability]:
+    """A classifier for each type of span, or what EM found for a type without a sampled candidate.
 
     Reliabilities are estimated from the votes of all candidates; only the distinct vote patterns with their counts reach
-    the driver (at most 3 to the number of labelers). Candidates labelled by them train the classifier, at most about
-    ``train_rows``, taken by hash.
+    the driver (at most 3 to the number of labelers). Candidates labelled by them train the classifiers, at most about
+    ``train_rows`` in all, taken by hash within each type: a rare type gives all it has.
     """
     patterns = candidates.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()
-    total = sum(r.n for r in patterns)
-    share = min(1.0, train_rows / max(1, total))
-    picked = candidates.filter(F.pmod(F.xxhash64("id", "s", "kind"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    counts = {k: sum(r.n for r in patterns if r.kind == k) for k in sorted({r.kind for r in patterns})}
+    below = F.lit(0)
+    for kind, rows in quotas(counts, train_rows).items():
+        below = F.when(F.col("kind") == kind, F.lit(rows * _HASHES // counts[kind])).otherwise(below)
+    picked = candidates.filter(F.pmod(F.xxhash64("id", "s", "kind"), F.lit(_HASHES)) < below)
     sample = picked.select("kind", "votes", "features").limit(2 * train_rows).toPandas()
-    out: dict[str, np.ndarray] = {}
-    for kind in sorted({r.kind for r in patterns}):
+    out: dict[str, np.ndarray | Reliability] = {}
+    for kind in counts:
         mine = [r for r in patterns if r.kind == kind]
         found = estimate(np.array([r.votes for r in mine]), np.array([float(r.n) for r in mine]))
         rows = sample[sample["kind"] == kind]
+        out[kind] = found
         if len(rows):
             target = found.posterior(np.array(rows["votes"].tolist()))
             out[kind] = train([np.asarray(f, dtype=int) for f in rows["features"]], target)
@@ -137,14 +151,18 @@ def find_spans(df: DataFrame, key: str, text: str, known: dict[str, str], accept
     or empty have none. ``key`` must be unique; other columns of ``df`` play no part.
     """
     found = cut(candidate_spans(df, key, text, known))
-    weights = fit(found)
+    models = fit(found)
 
     @F.pandas_udf(DoubleType())
-    def probability(kind: pd.Series, features: pd.Series) -> pd.Series:
-        z = [weights[k][np.asarray(f, dtype=int)].sum() if k in weights else -30.0 for k, f in zip(kind, features, strict=True)]
-        return pd.Series(1 / (1 + np.exp(-np.clip(np.array(z, dtype=float), -30, 30))))
+    def probability(kind: pd.Series, votes: pd.Series, features: pd.Series) -> pd.Series:
+        def one(model: np.ndarray | Reliability, v: np.ndarray, f: np.ndarray) -> float:
+            if isinstance(model, Reliability):
+                return float(model.posterior(np.asarray(v)[None, :])[0])
+            return 1 / (1 + np.exp(-np.clip(model[np.asarray(f, dtype=int)].sum(), -30, 30)))
+
+        return pd.Series([one(models[k], v, f) for k, v, f in zip(kind, votes, features, strict=True)], dtype=float)
 
-    scored = found.withColumn("p", probability("kind", "features")).filter(F.col("p") >= accept).select("id", "kind", "s", "e", "p")
+    scored = found.withColumn("p", probability("kind", "votes", "features")).filter(F.col("p") >= accept).select("id", "kind", "s", "e", "p")
 
     @F.pandas_udf("array<struct<kind:string,s:int,e:int,p:double>>")
     def settled(spans: pd.Series) -> pd.Series:

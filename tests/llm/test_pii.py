@@ -1,3 +1,5 @@
+import functools
+
 import numpy as np
 import pytest
 
@@ -77,3 +79,18 @@ def test_long_text_without_candidates():
 def test_phone_alone_in_groups_of_two_digits(number):
     text = f"For the report, ask at {number}."
     assert [(c.kind, text[c.start : c.end]) for c in candidates(text, KNOWN)] == [("phone", number)]
+
+
+def test_rare_type_is_trained_on_all_it_has(spark, monkeypatch):
+    rows = [(i, "phone", 0, 9, [1, 1, 0, 0], [1]) for i in range(3000)] + [(i, "address", 20, 40, [1, 1, 1, 0], [2, 3]) for i in range(5)]
+    df = spark.createDataFrame(rows, "id bigint, kind string, s int, e int, votes array<int>, features array<int>")
+    sizes = []
+    monkeypatch.setattr(pii, "train", lambda features, target: sizes.append(len(features)) or np.zeros(4))
+    assert sorted(pii.fit(df, 50)) == ["address", "phone"]
+    assert sizes[0] == 5 and 20 <= sizes[1] <= 75
+
+
+def test_type_without_classifier_goes_by_its_votes(spark, monkeypatch):
+    monkeypatch.setattr(pii, "fit", functools.partial(pii.fit, train_rows=0))
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(TEXTS * 20)], "line_id bigint, texto string")
+    assert {r.pii_type for r in pii.find_spans(df, "line_id", "texto", KNOWN).select("pii_type").distinct().collect()} == {"name", "email", "phone", "identity", "address"}
