@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from directed_extract.functions import jsonx
 
-#: An object with more different field names than this, over all records, is a map (its keys are data, not structure).
+#: In an object with more different field names than this, over all records, those not declared are a map (its keys are
+#: data, not structure).
 MAX_FIELDS = 64
 #: Mark of places where text stood for the list or object it holds; only there is text looked into again.
 WRAPPED = "wrapped"
@@ -42,7 +43,12 @@ class Node:
 
     @property
     def is_map(self) -> bool:
-        return self.value is not None
+        return self.value is not None and not self.fields
+
+    @property
+    def is_open(self) -> bool:
+        """An object with known fields and a map of all others."""
+        return self.value is not None and bool(self.fields)
 
 
 def _unwrapped(v: object) -> object:
@@ -90,15 +96,18 @@ def steps(path: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-def infer_structure(df: DataFrame, raw: str, maps: Iterable[str] = (), lists: Iterable[str] = (), max_fields: int = MAX_FIELDS) -> Node:
+def infer_structure(df: DataFrame, raw: str, maps: Iterable[str] = (), lists: Iterable[str] = (), max_fields: int = MAX_FIELDS, fields: Iterable[str] = ()) -> Node:
     """The merged structure of all JSON objects in column ``raw``.
 
     Every record is read; each partition gives the distinct (place, kind) pairs it saw, which are counted together. What
-    reaches the driver is the structure itself, bounded by the number of different places: objects named in ``maps``, and
-    those with more than ``max_fields`` field names, count as maps and share one place for all their values. Rows that are
-    no JSON object say nothing. ``lists`` names places that hold lists even where the data only has single values.
+    reaches the driver is the structure itself, bounded by the number of different places: objects named in ``maps`` count
+    as maps and share one place for all their values. So do the fields of objects with more than ``max_fields`` field
+    names, but for those that are declared or lead to what is. Rows that are no JSON object say nothing. ``lists`` names
+    places that hold lists even where the data only has single values, ``fields`` others that are known.
     """
+    maps, lists, fields = list(maps), list(lists), list(fields)
     declared = {steps(m) for m in maps}
+    kept = {_place(steps(p)[: i + 1]) for p in (*maps, *lists, *fields) for i in range(len(steps(p)))}
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
@@ -114,15 +123,15 @@ def infer_structure(df: DataFrame, raw: str, maps: Iterable[str] = (), lists: It
                 except (TypeError, ValueError, RecursionError):
                     continue
             if len(seen) > 100_000:  # an undeclared map: its keys must not pile up
-                seen = _folded(seen, max_fields)
-        seen = _folded(seen, max_fields)
+                seen = _folded(seen, max_fields, kept)
+        seen = _folded(seen, max_fields, kept)
         if seen:
             rows = [(json.dumps(p), k, int(n)) for (p, k), n in seen.items()]
             yield pd.DataFrame(rows, columns=["path", "kind", "n"]).astype({"path": object, "kind": object})
 
     found = df.select(F.col(raw).cast("string").alias("raw")).mapInPandas(scan, "path string, kind string, n bigint")
     rows = found.groupBy("path", "kind").agg(F.sum("n").alias("n")).collect()
-    seen = _folded(Counter({(tuple(json.loads(r.path)), r.kind): r.n for r in rows}), max_fields)
+    seen = _folded(Counter({(tuple(json.loads(r.path)), r.kind): r.n for r in rows}), max_fields, kept)
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 10 * PARSER_DEPTH))
     root = Node()
     for path, kind in seen:
@@ -133,27 +142,43 @@ def infer_structure(df: DataFrame, raw: str, maps: Iterable[str] = (), lists: It
     for path in maps:
         node = _at(root, steps(path))
         node.value = node.value or Node()
+    for path in fields:
+        _at(root, steps(path))
     _settle(root)
     return root
 
 
-def _folded(seen: Counter, max_fields: int) -> Counter:
-    """Objects with too many field names become maps."""
-    names: dict[tuple[str, ...], set[str]] = {}
-    for path, _ in seen:
-        for i, step in enumerate(path):
-            if step[0] == ".":
-                names.setdefault(path[:i], set()).add(step)
-    wide = {p for p, n in names.items() if len(n) > max_fields}
-    if not wide:
-        return seen
-    out: Counter = Counter()
-    for (path, kind), n in seen.items():
-        new: tuple[str, ...] = ()
-        for i, step in enumerate(path):
-            new = (*new, "{}" if step[0] == "." and path[:i] in wide else step)
-        out[new, kind] += n
-    return out
+def _place(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The path without lists: a list of objects and a single object in its stead are one place."""
+    return tuple(step for step in path if step != "[]")
+
+
+def _folded(seen: Counter, max_fields: int, kept: set[tuple[str, ...]]) -> Counter:
+    """In objects with too many field names, all fields but those in ``kept`` become the values of a map.
+
+    Folded fields share what is below them, which may then be too much in turn. Where a part of the data was folded before,
+    the rest follows.
+    """
+    while True:
+        names: dict[tuple[str, ...], set[str]] = {}
+        for path in {p for p, _ in seen}:
+            at: tuple[str, ...] = ()
+            for step in path:
+                if step != "[]":
+                    names.setdefault(at, set()).add(step)
+                    at = (*at, step)
+        loose = {p for p, n in names.items() if (len(n) > max_fields or "{}" in n) and any(s != "{}" and (*p, s) not in kept for s in n)}
+        if not loose:
+            return seen
+        out: Counter = Counter()
+        for (path, kind), n in seen.items():
+            new, at = [], ()
+            for step in path:
+                below = at if step == "[]" else (*at, step)
+                new.append("{}" if step != "[]" and at in loose and below not in kept else step)
+                at = below
+            out[tuple(new), kind] += n
+        seen = out
 
 
 def _at(root: Node, path: tuple[str, ...]) -> Node:
@@ -223,7 +248,9 @@ def _plain(node: Node, v: Column, prefix: str = "") -> list[Column]:
 
 
 def _children(node: Node, path: str, v: Column) -> Iterator[tuple[str, Node, Column]]:
-    """The lists and maps directly below a row, also those in objects inside it."""
+    """The lists and maps directly below a row, also those in objects inside it, and the other fields of open objects."""
+    if node.is_open:
+        yield path, node, v
     for name, child in sorted(node.fields.items()):
         at, here = _get(v, name, child), f"{path}.{name}" if path else name
         if child.is_list or child.is_map:
@@ -240,6 +267,8 @@ def _entries(node: Node, v: Column) -> Column:
         items = jsonx.let(v, several) if node.real - {"array"} else listed(v)
         return F.transform(items, lambda x, i: F.struct(i.cast("string").alias("label"), i.alias("pos"), _opened(x, node.item).alias("v")))
     pairs = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+    if node.is_open:
+        pairs = F.filter(pairs, lambda e: ~e["key"].isin(sorted(node.fields)))
     return F.transform(pairs, lambda e, i: F.struct(e["key"].alias("label"), i.alias("pos"), _opened(e["value"], node.value).alias("v")))
 
 
@@ -273,6 +302,9 @@ class Tables(Mapping):
 def flatten(df: DataFrame, raw: str, key: str, structure: Node) -> Tables:
     """One flat table for the records (``$``) and one for each list or map at any depth (``a[]``, ``a[].b{}`` ...).
 
+    Where only some fields of an object are known, the others are the entries of a map table of that object (``a{}``; ``{}``
+    for the record itself).
+
     Every row names its record (``key``), its own surrogate key (``row_key``, the labels from the record down, joined by
     ``/``), its parent's (``parent_key``; empty for children of the record), the parent's own label (``parent_label``), its
     ``label`` (place in the list as text, or key of the map) and ``pos`` (0-based place). ``kind`` is the kind of JSON
@@ -325,5 +357,7 @@ def flatten(df: DataFrame, raw: str, key: str, structure: Node) -> Tables:
 
     top = root.select("id", F.lit(None).cast("string").alias("parent_key"), F.lit(None).cast("string").alias("parent_label"), F.lit("").alias("row_key"), F.lit("").alias("label"), F.lit(0).alias("pos"), F.lit(None).cast("struct<none:string>").alias("parent"), "v")
     out.makers["$"] = lambda: shaped(top, structure)
+    if structure.is_map:
+        grow(lambda: top, structure, "", F.col("v"))
     below(lambda: top, structure, "")
     return out

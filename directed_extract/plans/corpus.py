@@ -47,11 +47,12 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: What prediction lines are known to hold, whether or not a batch happens to show it.
 PREDICTION_MAPS = ("_multi_strategy.all_detections", "_multi_strategy.entity_strategies", "_multi_strategy.entity_confidence", "_multi_strategy.confidence_thresholds")
 PREDICTION_LISTS = ("Entidad", "Entidad[].strategies", "_multi_strategy.all_detections{}", "_multi_strategy.entity_strategies{}", "_multi_strategy.strategies_used")
+PREDICTION_FIELDS = ("Entidad[].texto", "Entidad[].strategies[].name", "_multi_strategy.all_detections{}[].name", "_multi_strategy.entity_strategies{}[].name")
 
 
 def prediction_tables(spark: SparkSession, sf_dir: str) -> nested.Tables:
     lines = table(spark, sf_dir, "prediction_lines")
-    structure = nested.infer_structure(lines, "raw_line", PREDICTION_MAPS, PREDICTION_LISTS)
+    structure = nested.infer_structure(lines, "raw_line", PREDICTION_MAPS, PREDICTION_LISTS, fields=PREDICTION_FIELDS)
     return nested.flatten(lines, "raw_line", "pred_id", structure)
 
 

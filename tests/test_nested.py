@@ -1,6 +1,7 @@
 import json
 
 from directed_extract.operators import nested
+from directed_extract.plans import corpus
 
 
 def frame(spark, lines):
@@ -56,3 +57,30 @@ def test_twenty_levels(spark):
     t = tables(spark, [raw, '{"a": ' + "[" * 3000 + "]" * 3000 + "}"])
     name = ".".join(f"k{i}" for i in reversed(range(20))) + "[]"
     assert [r.value for r in t[name].collect()] == [7]
+
+
+def test_more_fields_than_the_bound_keep_declared_places(spark):
+    wide = {f"x{i}": i for i in range(65)} | {"more": [7, 8]}
+    lines = [
+        json.dumps({"e": [{"t": "a", "s": ["p", "q"]} | wide], "o": {"s": "z"} | wide} | wide),
+        json.dumps({"e": json.dumps([{"t": "b", "s": "r"}]), "more": [9], "o": {"s": ["y"]}}),
+    ]
+    t = tables(spark, lines, lists=["e", "e[].s", "o.s"], fields=["e[].t"])
+    assert [(r.id, r.parent.t, r.value) for r in t["e[].s[]"].orderBy("id", "pos").collect()] == [(0, "a", "p"), (0, "a", "q"), (1, "b", "r")]
+    assert [r.value for r in t["o.s[]"].orderBy("id").collect()] == ["z", "y"]
+    for name, extra in (("{}", 1), ("e[]{}", 0), ("o{}", 0)):
+        got = [(r.id, r.label) for r in t[name].collect()]
+        assert sorted(got) == sorted([(0, k) for k in wide] + [(1, "more")] * extra), name
+    assert [(r.id, r.parent_label, r.value) for r in t["{}[]"].filter("parent_label = 'more'").orderBy("id", "pos").collect()] == [(0, "more", 7), (0, "more", 8), (1, "more", 9)]
+
+
+def test_record_of_many_fields_without_declarations(spark):
+    t = tables(spark, [json.dumps({f"x{i}": i for i in range(65)} | {"x0": {"n": 5}}), '{"x1": 7}'])
+    assert t["{}"].filter("kind <> 'object'").count() == 65 and [(r.label, r.f.n) for r in t["{}"].filter("kind = 'object'").collect()] == [("x0", 5)]
+
+
+def test_p3_with_many_top_level_fields(spark, tmp_path):
+    line = {"PMID": "1", "Entidad": [{"texto": "a", "strategies": ["s"]} | {f"y{i}": i for i in range(65)}], "_multi_strategy": {"all_detections": {"a": [{"name": "d"}]}}}
+    lines = [json.dumps(line | {f"x{i}": i for i in range(65)})]
+    frame(spark, lines).selectExpr("id AS pred_id", "raw AS raw_line").write.parquet(str(tmp_path / "prediction_lines.parquet"))
+    assert sorted((r.branch, r.leaf) for r in corpus.p3_found(spark, str(tmp_path)).collect()) == [("all_detections", "d"), ("entidad", "s")]
