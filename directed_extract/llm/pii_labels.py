@@ -232,7 +232,7 @@ class _Names:
         if self.gap(i) == ", " and first == i and "given" in self.listed(i + 1) and "given" not in self.listed(i):
             last = i + 1
             return first, last + 1 if self.gap(last) == " " and self.initial(last + 1) and self.text[self.tokens[last + 1][2]] == "." and not self.listed(last + 2) else last
-        while words < 3 and self.gap(last) == " ":
+        while self.gap(last) == " ":
             j = last + 1
             while self.initial(j) and self.gap(j) == ". " and j - last < 3:
                 j += 1

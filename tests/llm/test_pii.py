@@ -94,3 +94,9 @@ def test_type_without_classifier_goes_by_its_votes(spark, monkeypatch):
     monkeypatch.setattr(pii, "fit", functools.partial(pii.fit, train_rows=0))
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(TEXTS * 20)], "line_id bigint, texto string")
     assert {r.pii_type for r in pii.find_spans(df, "line_id", "texto", KNOWN).select("pii_type").distinct().collect()} == {"name", "email", "phone", "identity", "address"}
+
+
+@pytest.mark.parametrize("name", ["Brindotu Vjequel Orvleux Ektrask", "Brindotu Vjequel de la Orvleux Ektrask Kethorpe"])
+def test_name_of_more_than_three_words(name):
+    text = f"Seen by Dr. {name} on the ward."
+    assert [text[c.start : c.end] for c in candidates(text, KNOWN) if c.kind == "name"] == [name]
