@@ -11,6 +11,10 @@ from directed_extract.llm import canonical, entity_map, ledger, mixing, packing,
 from directed_extract.session import cut, ensure_checkpoint_dir
 
 
+#: Capacities that are packed for, at most; more are refused.
+MOST_SPECS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -86,8 +90,10 @@ def p6_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> list[tuple[int, int, DataFrame]]:
+    specs = table(spark, sf_dir, "pack_specs").filter("capacity_tokens > 0").orderBy("spec_id").limit(MOST_SPECS + 1).collect()
+    if len(specs) > MOST_SPECS:
+        raise ValueError(f"more than {MOST_SPECS} rows in pack_specs")
     tokens = cut(sizes.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"))
-    specs = table(spark, sf_dir, "pack_specs").filter("capacity_tokens > 0").orderBy("spec_id").limit(1000).collect()
     return [(r.spec_id, r.capacity_tokens, packing.pack(tokens, "doc_id", "tokens", r.capacity_tokens)) for r in specs]
 
 

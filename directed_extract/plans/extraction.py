@@ -17,6 +17,10 @@ from directed_extract.sources.completer import FunctionCompleter, live_entries
 from directed_extract.session import cut
 
 
+#: Names of the allow list, at most; a longer list is refused.
+MOST_ALLOWED = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -61,7 +65,9 @@ def allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _allowed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     docs = table(spark, sf_dir, "corpus_docs").withColumn("entidad", F.coalesce("entidad", F.array().cast("array<struct<texto:string,tipo:string>>")))
-    tests = table(spark, sf_dir, "entity_catalog").filter("tipo = 'Test'").select("texto").orderBy("texto").limit(1000).collect()  # a list of settings
+    tests = table(spark, sf_dir, "entity_catalog").filter("tipo = 'Test'").select("texto").orderBy("texto").limit(MOST_ALLOWED + 1).collect()  # a list of settings
+    if len(tests) > MOST_ALLOWED:
+        raise ValueError(f"more than {MOST_ALLOWED} names in the allow list")
     return docs, [r.texto for r in tests]
 
 

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from directed_extract.llm import mixing, packing, sizes
+from directed_extract.llm import mixing, packing, queries, sizes
 
 
 def sized(spark, items):
@@ -89,3 +89,9 @@ def test_token_counts(spark):
     got = {r.doc_id: r.tokens for r in sizes.token_counts(df, "doc_id", "text").collect()}
     assert got[1] == 2 and got[2] == 0 and got[3] == 0 and got[4] > 1 and got[5] > 20_000
     assert sizes.token_counts(df.filter(F.lit(False)), "doc_id", "text").count() == 0
+
+
+def test_more_specs_than_the_bound_are_refused(spark, tmp_path):
+    spark.range(1001).selectExpr("cast(id AS int) AS spec_id", "8 AS capacity_tokens").write.parquet(str(tmp_path / "pack_specs.parquet"))
+    with pytest.raises(ValueError, match="pack_specs"):
+        queries.p7_packed(spark, str(tmp_path))
