@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+# Fixed value: the session setting by which the parser keeps the last value of a key that an object names twice.
+REPEATED_KEYS = "spark.sql.variant.allowDuplicateKeys"
+
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` evaluated once, however often ``use`` names it.
@@ -19,8 +22,11 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 def parse_strict(text: Column) -> Column:
     """VARIANT of a text that is one JSON value and nothing else, otherwise NULL.
 
-    The parser alone accepts text after the value. In brackets such text is an error or a second element.
+    The parser alone accepts text after the value. In brackets such text is an error or a second element. Of a key that
+    an object names twice the last value counts; the active session's setting for that is turned on.
     """
+    if (spark := SparkSession.getActiveSession()) is not None and spark.conf.get(REPEATED_KEYS) != "true":
+        spark.conf.set(REPEATED_KEYS, "true")
     v = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     return let(v, lambda x: F.when(F.try_variant_get(x, "$[1]", "variant").isNull(), F.try_variant_get(x, "$[0]", "variant")))
 
@@ -28,8 +34,7 @@ def parse_strict(text: Column) -> Column:
 def parse_object(raw: Column) -> Column:
     """VARIANT of a text that is one JSON object and nothing else, otherwise NULL.
 
-    Blank, cut off, single-quoted or otherwise invalid text, other JSON values and objects that name a key twice give
-    NULL.
+    Blank, cut off, single-quoted or otherwise invalid text and other JSON values give NULL.
     """
     trimmed = F.regexp_replace(raw, r"(?s)^[\s\x{FEFF}]*(\{.*\})\s*$", r"$1")
     return parse_strict(F.when(trimmed.startswith("{") & trimmed.endswith("}"), trimmed))

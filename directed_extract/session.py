@@ -25,21 +25,42 @@ def local_session(cpus: int | str = 8, memory: str = "8g", **conf: str) -> Spark
     return spark
 
 
+def session(app: str = "directed_extract") -> SparkSession:
+    """The session of a command: its master and resources are those of ``spark-submit`` or the configuration.
+
+    Only settings that nobody has made get the defaults.
+    """
+    spark = SparkSession.builder.appName(app).getOrCreate()
+    set_already = dict(spark.sparkContext.getConf().getAll())
+    for k, v in DEFAULTS.items():
+        if k not in set_already and k.startswith("spark.sql."):
+            spark.conf.set(k, v)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for reliable checkpoints.
 
-    The cluster's ``spark.checkpoint.dir`` is used when it is set (every executor can reach it); only a session
-    without it, as in tests on one machine, gets a temporary folder.
+    The cluster's ``spark.checkpoint.dir`` is used when it is set (every executor can reach it). A session without it
+    gets a temporary folder only if its master is local, as in tests on one machine; on a cluster it is an error, since
+    no other machine could read such a folder.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not configured and not is_local(sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="directed_extract_"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def is_local(master: str) -> bool:
+    """All work is done in this one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there.
 
