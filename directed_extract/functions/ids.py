@@ -16,6 +16,11 @@ def canonical_pmid(raw: Column) -> Column:
     fraction of zeros, an exponent, surrounding space); they come out as their digits. Any other identifier is equal
     only to itself apart from surrounding space and keeps its spelling. NULL, blank and ``None`` refer to nothing: NULL.
     """
+    plain = raw.rlike(r"^[1-9][0-9]{0,18}$")  # most are; the rest goes through the patterns below
+    return F.when(plain, raw).otherwise(_canonical(raw))
+
+
+def _canonical(raw: Column) -> Column:
     t = F.regexp_replace(raw, _EDGE, "")
     digits = F.regexp_replace(t, r"(?i)^(?:pmid[\s\p{Z}]*[:#.=]?[\s\p{Z}]*)?\+?0*(\d+?)(?:\.0*)?$", "$1")
     power = F.when(digits.rlike(r"^\+?\d+(\.\d+)?[eE]\+?\d{1,2}$"), digits).try_cast("decimal(38,6)")

@@ -21,3 +21,29 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, hot_sh
     hot = F.broadcast(groups.filter(F.col(count) > limit))
     cold = groups.filter(F.col(count) <= limit)
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
+def join_lookup(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", hot_share: float = HOT_SHARE) -> DataFrame:
+    """Join of ``rows`` to a table with at most one row per ``key``, which knows no counts; ``how`` is inner or left.
+
+    The rows are counted by key first, combined before the shuffle. Of the keys above ``hot_share``, at most
+    ``1 / hot_share``, the lookup's rows are broadcast, the others meet by shuffle. Rows with a NULL key meet nothing: a
+    left join keeps them without moving them. ``rows`` is read several times and should be a written table.
+    """
+    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = counts.filter(F.col("_n") > max(1, int(total * hot_share))).select(key)
+    met = rows.join(F.broadcast(hot.join(lookup, key, how)), key)
+    rest = rows.join(F.broadcast(hot), key, "left_anti")
+    out = met.unionByName(rest.filter(F.col(key).isNotNull()).join(lookup, key, how))
+    return out.unionByName(rest.filter(F.col(key).isNull()), allowMissingColumns=True) if how == "left" else out
+
+
+def hot_parts(counts: DataFrame, key: str, count: str, hot_share: float = HOT_SHARE) -> DataFrame:
+    """``(key, parts)`` of the hot keys alone: how many tasks their rows should be spread over.
+
+    ``counts`` has one row per key. At most ``1 / hot_share`` rows, whose parts add up to at most twice that.
+    """
+    total = counts.agg(F.sum(count)).first()[0] or 0
+    limit = max(1, int(total * hot_share))
+    return counts.filter(F.col(count) > limit).select(key, F.ceil(F.col(count) / F.lit(limit)).cast("int").alias("parts"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from directed_extract.functions.ids import canonical_pmid
 from directed_extract.functions.jsonx import parse_object
 from directed_extract.operators import nested, orphans
+from directed_extract.session import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,8 +40,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References and dangling references per table and month."""
-    refs, there = references(spark, sf_dir), document_presence(spark, sf_dir)
-    out = orphans.orphan_report(refs, orphans.dangling(refs, there), there)
+    there = cut(document_presence(spark, sf_dir))
+    out = orphans.orphan_report(orphans.judge(references(spark, sf_dir), there), there)
     return out.withColumn("period", F.date_format("period", "yyyy-MM"))
 
 

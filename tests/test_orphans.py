@@ -6,7 +6,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from directed_extract.functions.ids import canonical_pmid
-from directed_extract.operators.orphans import dangling, orphan_report, presence_intervals
+from directed_extract.operators.orphans import dangling, judge, orphan_report, presence_intervals
+from directed_extract.operators.skew import hot_parts, join_lookup
 
 T0 = datetime(2024, 1, 1)
 
@@ -44,10 +45,31 @@ def test_same_instant_and_repeated_rows(spark):
     assert found(spark, [("a", 1), ("a", 2)], [("a", 3), ("a", 3)], [("a", 2), ("a", 3), ("a", 3)]) == {1, 2}
 
 
-@pytest.mark.parametrize("salts", [1, 5])
-def test_empty_tables(spark, salts):
-    assert found(spark, [], [], [("a", 1)], salts=salts) == {0}
-    assert found(spark, [("a", 1)], [], [], salts=salts) == set()
+@pytest.mark.parametrize("share", [0.001, 1.0])
+def test_empty_tables(spark, share):
+    assert found(spark, [], [], [("a", 1)], hot_share=share) == {0}
+    assert found(spark, [("a", 1)], [], [], hot_share=share) == set()
+
+
+def test_one_key_and_one_instant_hold_a_third(spark):
+    asked = [("hot", 7)] * 100 + [("hot", h) for h in range(100)] + [(f"k{i}", i) for i in range(100)]
+    came, gone = [("hot", 50)] + [(f"k{i}", 0) for i in range(0, 100, 2)], [("hot", 90)]
+    want = {i for i, (k, h) in enumerate(asked) if not present(came, gone, k, h)}
+    for share in (0.001, 0.1, 1.0):
+        assert found(spark, came, gone, asked, hot_share=share) == want
+
+
+def test_hot_parts(spark):
+    counts = spark.createDataFrame([("a", 500), ("b", 300)] + [(f"c{i}", 1) for i in range(200)], "k string, n bigint")
+    assert {(r.k, r.parts) for r in hot_parts(counts, "k", "n", 0.05).collect()} == {("a", 10), ("b", 6)}
+
+
+def test_lookup_join(spark, rows):
+    left = spark.createDataFrame([(i, "hot") for i in range(50)] + [(50, "a"), (51, "lost"), (52, None)], "i int, k string")
+    right = spark.createDataFrame([("hot", 1), ("a", 2), ("b", 3)], "k string, v int")
+    for share in (0.1, 1.0):
+        assert rows(join_lookup(left, right, "k", "left", share).select("i", "v")) == sorted([(i, 1) for i in range(50)] + [(50, 2), (51, None), (52, None)], key=repr)
+        assert join_lookup(left, right, "k", "inner", share).count() == 51
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -66,7 +88,7 @@ def test_report_and_hot_key(spark):
     there = presence_intervals(events(spark, came), events(spark, [("hot", 40)]))
     orphans = dangling(r, there)
     assert orphans.columns == r.columns
-    got = {(x.period.month, x.n_refs, x.n_dangling, x.n_keys, x.n_never_came) for x in orphan_report(r, orphans, there).collect()}
+    got = {(x.period.month, x.n_refs, x.n_dangling, x.n_keys, x.n_never_came) for x in orphan_report(judge(r, there), there).collect()}
     late = sum(h % 50 >= 40 for h in range(300))
     assert got == {(1, 302, late + 2, 3, 2), (2, 1, 1, 1, 1)}
 
