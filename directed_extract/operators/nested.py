@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import sys
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from directed_extract.functions import jsonx
+from directed_extract.session import cut
 
 #: In an object with more different field names than this, over all records, those not declared are a map (its keys are
 #: data, not structure).
@@ -60,29 +60,87 @@ def _unwrapped(v: object) -> object:
     return v
 
 
-def _kind(v: object) -> str:
-    if v is None:
-        return "null"
-    for kind, types in (("boolean", bool), ("bigint", int), ("double", float), ("string", str), ("array", list)):
-        if isinstance(v, types):
-            return kind
-    return "object"
+#: The kinds of the types that the parser makes.
+_KINDS = {type(None): "null", bool: "boolean", int: "bigint", float: "double", str: "string", list: "array", dict: "object"}
 
 
-def _paths(v: object, maps: set[tuple[str, ...]], path: tuple[str, ...], seen: Counter) -> None:
-    inner = _unwrapped(v)
-    if inner is not v:
-        seen[path, WRAPPED] += 1
-    v = inner
-    if len(path) > PARSER_DEPTH:
-        raise ValueError("nested deeper than the parser reads")
-    seen[path, _kind(v)] += 1
-    if isinstance(v, list):
-        for x in v:
-            _paths(x, maps, (*path, "[]"), seen)
-    elif isinstance(v, dict):
-        for k, x in v.items():
-            _paths(x, maps, (*path, "{}" if path in maps else "." + k), seen)
+class _Seen:
+    """One place of the records read so far: kinds, what is below it by name, and what is in its lists."""
+
+    __slots__ = ("kinds", "names", "item", "value")
+
+    def __init__(self) -> None:
+        self.kinds: set[str] = set()
+        self.names: dict[str, _Seen] = {}
+        self.item: _Seen | None = None
+        self.value: _Seen | None = None
+
+    def paths(self, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], str]]:
+        todo = [(path, self)]
+        while todo:
+            at, node = todo.pop()
+            yield from ((at, k) for k in node.kinds)
+            todo += [((*at, "." + k), x) for k, x in node.names.items()]
+            todo += [((*at, step), x) for step, x in (("[]", node.item), ("{}", node.value)) if x is not None]
+
+
+class _Reader:
+    """Reads records into one :class:`_Seen`, counting its places. ``maps`` are the declared maps."""
+
+    def __init__(self, maps: set[tuple[str, ...]]) -> None:
+        self.root, self.places, self.maps = _Seen(), 1, {}
+        for path in maps:
+            at = self.maps
+            for step in path:
+                at = at.setdefault(step, {})
+            at["map"] = {}
+
+    def below(self, node: _Seen, side: str) -> _Seen:
+        child = getattr(node, side)
+        if child is None:
+            child = _Seen()
+            setattr(node, side, child)
+            self.places += 1
+        return child
+
+    def walk(self, v: object, node: _Seen, declared: dict | None, depth: int = 0) -> None:
+        if depth > PARSER_DEPTH:
+            raise ValueError("nested deeper than the parser reads")
+        if type(v) is str and v and v[-1:] in "]} \t\r\n" and (inner := _unwrapped(v)) is not v:
+            node.kinds.add(WRAPPED)
+            v = inner
+        node.kinds.add(_KINDS[type(v)])
+        if type(v) is list:
+            if v:
+                item, under = self.below(node, "item"), declared.get("[]") if declared else None
+                for x in v:
+                    self.walk(x, item, under, depth + 1)
+        elif type(v) is dict:
+            if declared and "map" in declared:
+                if v:
+                    value, under = self.below(node, "value"), declared.get("{}")
+                    for x in v.values():
+                        self.walk(x, value, under, depth + 1)
+                return
+            names = node.names
+            for k, x in v.items():
+                child = names.get(k)
+                if child is None:
+                    child = names[k] = _Seen()
+                    self.places += 1
+                self.walk(x, child, declared.get("." + k) if declared else None, depth + 1)
+
+    def read(self, text: str) -> None:
+        """One record; what is no JSON object leaves nothing behind."""
+        try:
+            record = json.loads(text)
+            if not isinstance(record, dict):
+                return
+            if text.count("[") + text.count("{") > PARSER_DEPTH:  # may turn out too deep half-way
+                self.walk(record, _Seen(), self.maps)
+            self.walk(record, self.root, self.maps)
+        except (TypeError, ValueError, RecursionError):
+            return
 
 
 def steps(path: str) -> tuple[str, ...]:
@@ -99,7 +157,7 @@ def steps(path: str) -> tuple[str, ...]:
 def infer_structure(df: DataFrame, raw: str, maps: Iterable[str] = (), lists: Iterable[str] = (), max_fields: int = MAX_FIELDS, fields: Iterable[str] = ()) -> Node:
     """The merged structure of all JSON objects in column ``raw``.
 
-    Every record is read; each partition gives the distinct (place, kind) pairs it saw, which are counted together. What
+    Every record is read; each partition gives the distinct (place, kind) pairs it saw. What
     reaches the driver is the structure itself, bounded by the number of different places: objects named in ``maps`` count
     as maps and share one place for all their values. So do the fields of objects with more than ``max_fields`` field
     names, but for those that are declared or lead to what is. Rows that are no JSON object say nothing. ``lists`` names
@@ -110,28 +168,21 @@ def infer_structure(df: DataFrame, raw: str, maps: Iterable[str] = (), lists: It
     kept = {_place(steps(p)[: i + 1]) for p in (*maps, *lists, *fields) for i in range(len(steps(p)))}
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
         sys.setrecursionlimit(max(sys.getrecursionlimit(), 10 * PARSER_DEPTH))
+        reader, seen = _Reader(declared), set()
         for batch in batches:
             for text in batch["raw"]:
-                try:
-                    record = json.loads(text)
-                    if isinstance(record, dict):
-                        own: Counter = Counter()
-                        _paths(record, declared, (), own)
-                        seen.update(own)
-                except (TypeError, ValueError, RecursionError):
-                    continue
-            if len(seen) > 100_000:  # an undeclared map: its keys must not pile up
-                seen = _folded(seen, max_fields, kept)
-        seen = _folded(seen, max_fields, kept)
+                reader.read(text)
+            if reader.places > 100_000:  # an undeclared map: its keys must not pile up
+                seen = _folded(seen | set(reader.root.paths()), max_fields, kept)
+                reader = _Reader(declared)
+        seen = _folded(seen | set(reader.root.paths()), max_fields, kept)
         if seen:
-            rows = [(json.dumps(p), k, int(n)) for (p, k), n in seen.items()]
-            yield pd.DataFrame(rows, columns=["path", "kind", "n"]).astype({"path": object, "kind": object})
+            rows = [(json.dumps(p), k) for p, k in seen]
+            yield pd.DataFrame(rows, columns=["path", "kind"]).astype({"path": object, "kind": object})
 
-    found = df.select(F.col(raw).cast("string").alias("raw")).mapInPandas(scan, "path string, kind string, n bigint")
-    rows = found.groupBy("path", "kind").agg(F.sum("n").alias("n")).collect()
-    seen = _folded(Counter({(tuple(json.loads(r.path)), r.kind): r.n for r in rows}), max_fields, kept)
+    found = df.select(F.col(raw).cast("string").alias("raw")).mapInPandas(scan, "path string, kind string")
+    seen = _folded({(tuple(json.loads(r.path)), r.kind) for r in found.distinct().collect()}, max_fields, kept)
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 10 * PARSER_DEPTH))
     root = Node()
     for path, kind in seen:
@@ -153,7 +204,7 @@ def _place(path: tuple[str, ...]) -> tuple[str, ...]:
     return tuple(step for step in path if step != "[]")
 
 
-def _folded(seen: Counter, max_fields: int, kept: set[tuple[str, ...]]) -> Counter:
+def _folded(seen: set, max_fields: int, kept: set[tuple[str, ...]]) -> set:
     """In objects with too many field names, all fields but those in ``kept`` become the values of a map.
 
     Folded fields share what is below them, which may then be too much in turn. Where a part of the data was folded before,
@@ -170,14 +221,14 @@ def _folded(seen: Counter, max_fields: int, kept: set[tuple[str, ...]]) -> Count
         loose = {p for p, n in names.items() if (len(n) > max_fields or "{}" in n) and any(s != "{}" and (*p, s) not in kept for s in n)}
         if not loose:
             return seen
-        out: Counter = Counter()
-        for (path, kind), n in seen.items():
+        out = set()
+        for path, kind in seen:
             new, at = [], ()
             for step in path:
                 below = at if step == "[]" else (*at, step)
                 new.append("{}" if step != "[]" and at in loose and below not in kept else step)
                 at = below
-            out[tuple(new), kind] += n
+            out.add((tuple(new), kind))
         seen = out
 
 
@@ -312,10 +363,10 @@ def flatten(df: DataFrame, raw: str, key: str, structure: Node) -> Tables:
     their dotted path, and ``parent`` the same of the object the list or map is in. Missing and null fields are NULL, a null item keeps its place as a row of kind ``null``, a single
     value where a list belongs is a list of one, text that holds a JSON list or object stands for it.
 
-    Records that are no JSON object give no row. The tables are lazy, read only what they need and need no shuffle: each
-    level is exploded from its parent within the row. Columns of ``df`` other than ``raw`` and ``key`` play no part.
+    Records that are no JSON object give no row. The text is parsed once, into the checkpoint folder. The tables are lazy,
+    read only what they need and need no shuffle: each level is exploded from its parent within the row. Columns of ``df`` other than ``raw`` and ``key`` play no part.
     """
-    root = df.select(F.col(f"`{key}`").alias("id"), jsonx.parse_object(F.col(f"`{raw}`")).alias("v")).filter("v is not null")
+    root = cut(df.select(F.col(f"`{key}`").alias("id"), jsonx.parse_object(F.col(f"`{raw}`")).alias("v")).filter("v is not null"))
     out = Tables()
 
     def shaped(rows: DataFrame, node: Node) -> DataFrame:

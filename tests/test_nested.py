@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from directed_extract.operators import nested
 from directed_extract.plans import corpus
 
@@ -84,3 +86,15 @@ def test_p3_with_many_top_level_fields(spark, tmp_path):
     lines = [json.dumps(line | {f"x{i}": i for i in range(65)})]
     frame(spark, lines).selectExpr("id AS pred_id", "raw AS raw_line").write.parquet(str(tmp_path / "prediction_lines.parquet"))
     assert sorted((r.branch, r.leaf) for r in corpus.p3_found(spark, str(tmp_path)).collect()) == [("all_detections", "d"), ("entidad", "s")]
+
+
+def test_the_same_tables_in_any_partitioning(spark, rows):
+    lines = [json.dumps({"m": {f"k{i}_{j}": j for j in range(70)}}) for i in range(3)] + ['{"m":{"k1":{"deep":[1,2]}}}', '{"m":{"a":1,"a":{"deep":[3]}}}']
+    df = spark.createDataFrame(list(enumerate(lines)), "i bigint, raw string")
+    got = []
+    for n in (1, 2, 8):
+        parts = df.repartitionByRange(n, "i")
+        t = nested.flatten(parts, "raw", "i", nested.infer_structure(parts, "raw"))
+        got.append({name: rows(t[name].select("i", "row_key", "pos", F.to_json(F.struct("value")).alias("v"))) for name in t})
+    assert got[0] == got[1] == got[2] and {"$", "m{}", "m{}.deep[]"} == set(got[0])
+    assert [r[0] for r in got[0]["m{}.deep[]"]] == [3, 3, 4]
