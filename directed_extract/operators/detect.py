@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 from directed_extract.config import REGEX, Strategy
 from directed_extract.functions import text as T
 from directed_extract.functions.jsonx import let, parse_strict
-from directed_extract.operators.chunking import chunk_documents
+from directed_extract.operators.chunking import MOST_WINDOWS, chunk_documents
+from directed_extract.operators.skew import join_groups
 from directed_extract.session import cut
-from directed_extract.sources.completer import Completer, complete_prompts
+from directed_extract.sources.completer import ATTEMPTS, PAUSE, Completer, complete_prompts
 
 # The prompts.
 SYSTEM_PROMPTS = {
@@ -91,11 +93,15 @@ def match_terms(terms: Column, candidates: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(terms, first), lambda c: c.isNotNull()))
 
 
+def fallback_mentions(answer: Column) -> Column:
+    """Disease-like mentions in plain text."""
+    return F.concat(*[F.regexp_extract_all(answer, F.lit(p), F.lit(0)) for p in FALLBACK_PATTERNS])
+
+
 def fallback_terms(answer: Column, candidates: Column) -> Column:
-    """Disease-like mentions in plain text that equal a candidate but for letter case."""
-    found = F.concat(*[F.regexp_extract_all(answer, F.lit(p), F.lit(0)) for p in FALLBACK_PATTERNS])
+    """The mentions in plain text that equal a candidate but for letter case."""
     known = F.transform(candidates, lambda c: F.lower(c))
-    return F.filter(found, lambda m: F.array_contains(known, F.lower(m)))
+    return F.filter(fallback_mentions(answer), lambda m: F.array_contains(known, F.lower(m)))
 
 
 def prompt(model: Column, chunk: Column) -> Column:
@@ -117,29 +123,84 @@ def prompt_key(model: Column, system: Column, user: Column) -> Column:
     return F.md5(F.concat(model, F.lit(":"), system, F.lit(":"), user))
 
 
+class NoModel:
+    """Stands for a model where there is none: it names nothing."""
+
+    def complete(self, model: str, system: str, prompt: str, temperature: float) -> str:
+        return "[]"
+
+
+@dataclass(frozen=True)
+class Calls:
+    """How a run calls its model: tasks that call at a time (None: as many as there are), attempts for a prompt, seconds
+    between them, and the share of failed prompts above which the run is given up."""
+
+    at_once: int | None = None
+    attempts: int = ATTEMPTS
+    pause: float = PAUSE
+    most_failed: float = 1.0
+
+
+@dataclass(frozen=True)
+class Asked:
+    """Detections of a run and the calls behind them (``key, answer, status, attempts, seconds, error, round``)."""
+
+    detections: DataFrame
+    calls: DataFrame
+
+
+def model_windows(docs: DataFrame, strategies: list[Strategy], system: str, unit: str = "chars", by_heat: bool = False, cap: int | None = MOST_WINDOWS) -> DataFrame:
+    """``(doc, strategy, ord, model, key, chunk)``: every window of every text under every strategy.
+
+    ``key`` is the digest of what is asked. ``chunk`` is NULL where the window is the whole text, so that texts are not
+    written once for each strategy. ``by_heat``: the temperature is part of the key.
+    """
+    windows = chunk_documents(docs.select("doc", "text"), "text", strategies, unit, cap).select("doc", "text", "strategy", "model", F.explode("chunks").alias("chunk"))
+    order = F.create_map(*[x for i, s in enumerate(strategies) for x in (F.lit(s.name), F.lit(i))]) if strategies else F.lit(None).cast("map<string,int>")
+    windows = windows.filter(T.strip(F.col("chunk")) != "").withColumn("ord", order[F.col("strategy")])
+    asked = prompt_key(F.col("model"), F.lit(system), prompt(F.col("model"), F.col("chunk")))
+    if by_heat and strategies:
+        heat = F.create_map(*[x for i, s in enumerate(strategies) for x in (F.lit(i), F.lit(str(s.temperature)))])
+        asked = F.md5(F.concat(asked, heat[F.col("ord")]))
+    return windows.select(F.col("doc").alias("doc"), "strategy", "ord", "model", asked.alias("key"), F.nullif(F.col("chunk"), F.col("text")).alias("chunk"))
+
+
 def model_detect(docs: DataFrame, key: Column, text: str, candidates: str, strategies: list[Strategy], completer: Completer, unit: str = "chars") -> DataFrame:
+    """The detections of :func:`model_run`."""
+    return model_run(docs, key, text, candidates, strategies, completer, unit).detections
+
+
+def model_run(docs: DataFrame, key: Column, text: str, candidates: str, strategies: list[Strategy], completer: Completer, unit: str = "chars", by_heat: bool = False, calls: Calls = Calls(), cap: int | None = MOST_WINDOWS) -> Asked:
     """``(doc, strategy, entity)``: candidates that a model's answers name, over all windows of all strategies.
 
     Each distinct (model, system prompt, prompt) is asked once, with the temperature of the first strategy that needs it,
     and its answer serves all windows. A first answer that cannot be read is followed by one second prompt, then by the
-    fallback on that answer. Answers are kept in the checkpoint folder, so a repeated stage asks nothing twice. Windows
-    and answers meet by the digest of the prompt; the texts themselves travel once, with the distinct prompts.
+    fallback on that answer. ``key`` must be unique.
+
+    Windows are worked out once and kept in the checkpoint folder as narrow rows. Whole texts travel once for each
+    distinct prompt. Windows and answers meet by the digest of the prompt, prompts of many windows by broadcast; candidates
+    join at the end, and a document's term is compared with them once, whatever the number of windows that named it.
     """
     system = system_prompt(strategies)
     base = docs.select(key.alias("doc"), F.col(text).alias("text"), F.array_distinct(F.filter(candidates, lambda c: c.isNotNull())).alias("candidates"))
-    windows = chunk_documents(base, "text", strategies, unit).select("doc", "candidates", "strategy", "model", F.explode("chunks").alias("chunk"))
-    order = F.create_map(*[x for i, s in enumerate(strategies) for x in (F.lit(s.name), F.lit(i))]) if strategies else F.lit(None).cast("map<string,int>")
-    windows = windows.filter(T.strip(F.col("chunk")) != "").withColumn("ord", order[F.col("strategy")])
-    windows = windows.withColumn("key", prompt_key(F.col("model"), F.lit(system), prompt(F.col("model"), F.col("chunk"))))
+    windows = cut(model_windows(base, strategies, system, unit, by_heat, cap))
     heat = {i: float(s.temperature or 0.0) for i, s in enumerate(strategies)}
-    asked = windows.groupBy("key").agg(F.min("ord").alias("ord"), F.first("model").alias("model"), F.first("chunk").alias("chunk"))
-    asked = asked.withColumn("prompt", prompt(F.col("model"), F.col("chunk")))
-    first = complete_prompts(asked, completer, system, heat).withColumn("parsed", parse_answer(F.col("answer")))
-    good = first.filter("parsed.ok").select("key", F.col("parsed.terms").alias("terms"), F.lit(None).cast("string").alias("last"))
-    retry = first.filter("not parsed.ok").select("key", "model", "ord", second_prompt(F.col("chunk")).alias("prompt"))
-    second = complete_prompts(retry, completer, system, heat).withColumn("parsed", parse_answer(F.col("answer"), objects=False))
-    late = second.select("key", F.col("parsed.terms").alias("terms"), F.when(F.size("parsed.terms") == 0, F.col("answer")).alias("last"))
-    answers = cut(good.unionByName(late))
-    told = windows.select("doc", "candidates", "strategy", "key").join(answers, "key")
-    terms = F.when(F.col("last").isNotNull(), fallback_terms(F.col("last"), F.col("candidates"))).otherwise(F.col("terms"))
-    return told.select("doc", "strategy", F.explode(match_terms(terms, F.col("candidates"))).alias("entity")).distinct()
+    asked = windows.groupBy("key").agg(F.min("ord").alias("ord"), F.max("model").alias("model"), F.max("chunk").alias("chunk"), F.min("doc").alias("doc"), F.count("*").alias("n"))
+    whole = asked.filter("chunk is null").drop("chunk").join(base.select("doc", F.col("text").alias("chunk")), "doc")
+    asked = cut(asked.filter("chunk is not null").unionByName(whole).drop("doc"))
+    once = lambda rows: complete_prompts(rows, completer, system, heat, calls.at_once, calls.attempts, calls.pause, calls.most_failed)
+    first = once(asked.withColumn("prompt", prompt(F.col("model"), F.col("chunk"))))
+    read = first.select("key", parse_answer(F.col("answer")).alias("parsed"))
+    again = asked.join(read.filter("not parsed.ok").select("key"), "key").withColumn("prompt", second_prompt(F.col("chunk")))
+    second = once(again)
+    late = second.select("key", "answer", parse_answer(F.col("answer"), objects=False)["terms"].alias("terms"))
+    named = lambda terms, loose: F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(loose).alias("loose")))
+    terms = F.when(F.size("terms") > 0, named(F.col("terms"), False)).otherwise(named(fallback_mentions(F.col("answer")), True))
+    answers = read.filter("parsed.ok").select("key", named(F.col("parsed.terms"), False).alias("terms")).unionByName(late.select("key", terms.alias("terms")))
+    answers = cut(answers.filter(F.size("terms") > 0).join(asked.select("key", "n"), "key"))
+    told = join_groups(windows.select("doc", "strategy", "key"), answers, "key", "n").select("doc", "strategy", F.explode("terms").alias("x"))
+    told = told.groupBy("doc", "x").agg(F.collect_set("strategy").alias("by"))
+    met = told.join(base.select("doc", "candidates"), "doc").filter(~F.col("x.loose") | F.exists("candidates", lambda c: F.lower(c) == F.lower(F.col("x.term"))))
+    met = met.select("doc", "by", F.explode(match_terms(F.array("x.term"), F.col("candidates"))).alias("entity"))
+    found = met.select("doc", F.explode("by").alias("strategy"), "entity").distinct()
+    return Asked(found, first.withColumn("round", F.lit(1)).unionByName(second.withColumn("round", F.lit(2))))

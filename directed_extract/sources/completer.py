@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import http.client
 import json
-import urllib.request
+import time
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 from typing import Protocol
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,10 +16,17 @@ from pyspark.sql import functions as F
 
 from directed_extract.session import cut
 
-# Options of every call.
-OPTIONS = {"top_p": 0.9, "num_gpu": 1, "num_thread": 2, "repeat_penalty": 1.1, "top_k": 40, "num_predict": 32}
-#: The answer that stands for a failed call: a valid empty list.
+# Options of every call, and how long the server keeps the model.
+OPTIONS = {
+    "top_p": 0.9, "num_gpu": 1, "num_thread": 2, "repeat_penalty": 1.1, "top_k": 40, "num_predict": 32,
+    "stop": ["\nUser:", "\nUSER:", "\nAssistant:", "\nASSISTANT:", "```", "```json"],
+}
+KEEP_ALIVE = "5m"
+# Fixed value: the answer that stands for a failed call, a valid empty list.
 FAILED = '{"present": [], "evidence": {}}'
+# Server, seconds until a call is given up, calls for one prompt, seconds between them, calls at once.
+SERVER = "http://localhost:11434/api/generate"
+TIMEOUT, ATTEMPTS, PAUSE, CALLS_AT_ONCE = 30.0, 3, 1.0, 4
 
 
 class Completer(Protocol):
@@ -47,44 +56,105 @@ class FunctionCompleter:
 
 @dataclass(frozen=True)
 class HttpCompleter:
-    """A model server that takes one prompt a POST and answers with an envelope ``{"response": text}`` or plain text."""
+    """A model server that takes one prompt a POST and answers with an envelope ``{"response": text}`` or plain text.
 
-    url: str = "http://localhost:11434/api/generate"
-    timeout: float = 30.0
+    Each task keeps its connection open from call to call. A broken connection is dropped, so that the next attempt
+    opens a new one. Any status but 2xx is an error.
+    """
+
+    url: str = SERVER
+    timeout: float = TIMEOUT
     options: Mapping[str, object] = field(default_factory=lambda: dict(OPTIONS))
+    keep_alive: str = KEEP_ALIVE
+
+    def body(self, model: str, system: str, prompt: str, temperature: float) -> dict:
+        return {"model": model, "prompt": prompt, "system": system, "stream": False, "keep_alive": self.keep_alive, "options": {**self.options, "temperature": temperature}}
 
     def complete(self, model: str, system: str, prompt: str, temperature: float) -> str:
-        body = {"model": model, "system": system, "prompt": prompt, "stream": False, "options": {**self.options, "temperature": temperature}}
-        request = urllib.request.Request(self.url, json.dumps(body).encode(), {"Content-Type": "application/json"})
-        with urllib.request.urlopen(request, timeout=self.timeout) as r:
-            raw = r.read().decode("utf-8", "replace")
+        return self.opened().complete(model, system, prompt, temperature)
+
+    def opened(self) -> Connected:
+        """The same server with a connection that stays open: one for each task."""
+        return Connected(self)
+
+
+class Connected:
+    """A worker's own connection to a model server."""
+
+    def __init__(self, server: HttpCompleter) -> None:
+        self.server, self.kept = server, None
+
+    def complete(self, model: str, system: str, prompt: str, temperature: float) -> str:
+        raw = self._post(json.dumps(self.server.body(model, system, prompt, temperature)).encode())
         try:
             answer = json.loads(raw).get("response", raw)
         except (ValueError, AttributeError):
             return raw
         return answer if isinstance(answer, str) else raw
 
+    def _post(self, payload: bytes) -> str:
+        at = urlsplit(self.server.url)
+        try:
+            if self.kept is None:
+                kind = http.client.HTTPSConnection if at.scheme == "https" else http.client.HTTPConnection
+                self.kept = kind(at.hostname, at.port, timeout=self.server.timeout)
+            self.kept.request("POST", at.path or "/", payload, {"Content-Type": "application/json"})
+            reply = self.kept.getresponse()
+            raw = reply.read().decode("utf-8", "replace")
+            if reply.status // 100 != 2:
+                raise ConnectionError(f"status {reply.status}")
+            return raw
+        except (OSError, http.client.HTTPException):
+            if self.kept is not None:
+                self.kept.close()
+            self.kept = None
+            raise
 
-def complete_prompts(asked: DataFrame, completer: Completer, system: str, heat: Mapping[int, float], calls_at_once: int | None = None) -> DataFrame:
-    """``asked`` (distinct prompts: ``model, prompt, ord`` and more) with ``answer``.
 
-    Each row is one call. ``calls_at_once`` bounds how many tasks call at a time. A failed call gives :data:`FAILED`.
-    The answers are written to the checkpoint folder: whatever runs again later does not call again.
+def called(completer: Completer, model: str, system: str, prompt: str, temperature: float, attempts: int, pause: float) -> tuple[str, str, int, float, str | None]:
+    """Answer, status, attempts, seconds and last error of one prompt. Errors other than of calling are not hidden."""
+    began, error = time.monotonic(), None
+    for n in range(1, attempts + 1):
+        try:
+            return completer.complete(model, system, prompt, temperature), "ok", n, round(time.monotonic() - began, 3), error
+        except (OSError, http.client.HTTPException) as e:
+            error = f"{type(e).__name__}: {e}"
+            if n < attempts:
+                time.sleep(pause)
+    return FAILED, "failed", attempts, round(time.monotonic() - began, 3), error
+
+
+def complete_prompts(
+    asked: DataFrame, completer: Completer, system: str, heat: Mapping[int, float], calls_at_once: int | None = None, attempts: int = ATTEMPTS, pause: float = PAUSE, most_failed: float = 1.0
+) -> DataFrame:
+    """``(key, answer, status, attempts, seconds, error)`` of ``asked``: distinct prompts ``(key, model, prompt, ord)``.
+
+    ``calls_at_once`` bounds how many tasks call at a time. A call that fails is made again after ``pause`` seconds, at
+    most ``attempts`` times; then the row has the status ``failed`` and the answer :data:`FAILED`, an empty list. More than
+    ``most_failed`` of all rows failed is an error, so that an outage does not pass for texts without entities. The answers
+    are written to the checkpoint folder: whatever runs again later does not call again.
     """
-    rows = asked.repartition(calls_at_once) if calls_at_once else asked
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema.fields) + ", answer string"
+    rows = asked.select("key", "model", "prompt", "ord")
+    rows = rows.repartition(calls_at_once) if calls_at_once else rows
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        server = completer.opened() if isinstance(completer, HttpCompleter) else completer
         for b in batches:
-            out = []
-            for model, prompt, order in zip(b["model"], b["prompt"], b["ord"], strict=True):
-                try:
-                    out.append(completer.complete(model, system, prompt, heat.get(int(order), 0.0)))
-                except Exception:  # noqa: BLE001 - whatever a server does, the row gets the failed answer
-                    out.append(FAILED)
-            yield b.assign(answer=out)
-
-    return cut(rows.mapInPandas(call, schema))
+            got = [called(server, m, system, p, heat.get(int(o), 0.0), attempts, pause) for m, p, o in zip(b["model"], b["prompt"], b["ord"], strict=True)]
+            answers = pd.DataFrame(got, columns=["answer", "status", "attempts", "seconds", "error"])
+            yield pd.concat([b[["key"]].reset_index(drop=True), answers], axis=1)
+
+    done = cut(rows.mapInPandas(call, "key string, answer string, status string, attempts int, seconds double, error string"))
+    if most_failed < 1:
+        n = done.agg(F.count("*").alias("n"), F.count_if(F.col("status") == "failed").alias("f"), F.max("error").alias("e")).first()
+        if n.f > most_failed * n.n:
+            raise RuntimeError(f"{n.f} of {n.n} model calls failed, last: {n.e}")
+    return done
+
+
+def call_tally(calls: DataFrame, *by: str) -> DataFrame:
+    """By status (and ``by``): calls, attempts, and the seconds they took."""
+    return calls.groupBy(*by, "status").agg(F.count("*").alias("n_calls"), F.sum("attempts").alias("n_attempts"), F.round(F.sum("seconds"), 3).alias("seconds"))
 
 
 def live_entries(cache: DataFrame, now: str, capacity: int) -> DataFrame:

@@ -76,13 +76,15 @@ def predictions_from_lines(lines: DataFrame, raw: str, doc: str, file: str) -> D
     return rows.filter("entities is not null")
 
 
-def read_prediction_files(spark: SparkSession, glob: str) -> DataFrame:
-    """Predictions of all files that a pattern names, by file name, as :func:`predictions_from_lines` gives them.
+def read_prediction_files(spark: SparkSession, path: str) -> DataFrame:
+    """Predictions of all ``.jsonl`` files of a folder or pattern, as :func:`predictions_from_lines` gives them, by the name
+    of the file or, where a file was written in parts, of its folder.
 
     Lines get a number that is unique over all files and fixed once the lines are written to the checkpoint folder.
     """
-    lines = spark.read.text(glob).select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line"))
-    return predictions_from_lines(cut(lines), "value", "line", "file")
+    name = F.regexp_extract("_metadata.file_path", r"([^/=]+\.jsonl)(?:/[^/]*)?$", 1)
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", name.alias("file"), F.monotonically_increasing_id().alias("line"))
+    return predictions_from_lines(cut(lines.filter("file <> ''")), "value", "line", "file")
 
 
 def read_documents(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
@@ -99,6 +101,12 @@ def write_lines(df: DataFrame, path: str, single_file: bool = False) -> None:
     (df.coalesce(1) if single_file else df).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def write_by_file(df: DataFrame, file: str, path: str) -> None:
+    """JSON lines in one folder for each value of ``file``, all written by one job."""
+    rows = df.select(file, F.to_json(F.struct(*[F.col(c) for c in df.columns if c != file]), {"ignoreNullFields": "false"}).alias("value"))
+    rows.write.mode("overwrite").partitionBy(file).text(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """A small result table with a header, as one file."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
