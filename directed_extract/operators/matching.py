@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from directed_extract.functions import text as T
 
 CLASSES = ("exact", "partial", "fuzzy", "unmatched")
+# The sentences of the suggestions.
+ADD = ("Consider adding '", "' as a candidate entity")
+UNIFY = ("'", "' and '", "' are similar - consider standardizing")
+REPEATED = ("Duplicate candidate: '", "'")
 
 
 def best_match(detected: Column, candidates: Column, threshold: float = T.ALIKE) -> Column:
@@ -52,10 +56,10 @@ def validate_candidates(lists: DataFrame, key: str, candidates: str) -> DataFram
 
 def suggestions(matches: DataFrame, validated: DataFrame, key: str) -> DataFrame:
     """``(<key>, suggestion)``: entities to add, alike spellings to unify, and repeated candidates."""
-    add = matches.filter("match_class = 'unmatched'").select(key, F.concat(F.lit("Consider adding '"), "detected", F.lit("' as a candidate entity")).alias("suggestion"))
+    add = matches.filter("match_class = 'unmatched'").select(key, F.concat(F.lit(ADD[0]), "detected", F.lit(ADD[1])).alias("suggestion"))
     unify = matches.filter("match_class = 'fuzzy' and lower(detected) <> lower(candidate)")
-    unify = unify.select(key, F.concat(F.lit("'"), "detected", F.lit("' and '"), "candidate", F.lit("' are similar - consider standardizing")).alias("suggestion"))
-    twice = validated.filter("verdict = 'duplicate'").select(key, F.concat(F.lit("Duplicate candidate: '"), "candidate", F.lit("'")).alias("suggestion"))
+    unify = unify.select(key, F.concat(F.lit(UNIFY[0]), "detected", F.lit(UNIFY[1]), "candidate", F.lit(UNIFY[2])).alias("suggestion"))
+    twice = validated.filter("verdict = 'duplicate'").select(key, F.concat(F.lit(REPEATED[0]), "candidate", F.lit(REPEATED[1])).alias("suggestion"))
     return add.unionByName(unify).unionByName(twice)
 
 

@@ -8,9 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from directed_extract.functions.text import strip
+from directed_extract.operators.skew import join_lookup
+from directed_extract.session import cut
 
-# Entities of the development set, with their types for the candidate block.
-ALLOWED = ("Short of breath", "Chest pain", "Orthopnea", "Hypertension", "Hyperlipidemia", "Angina", "Obesity", "Aspirin", "Nitroglycerin", "Monitoring")
+# The candidate block of the development set, with types, and the allow list of the same names.
+CANDIDATES = (
+    ("Short of breath", "SpecificDisease"), ("Chest pain", "SpecificDisease"), ("Orthopnea", "SpecificDisease"), ("Hypertension", "SpecificDisease"),
+    ("Hyperlipidemia", "SpecificDisease"), ("Angina", "SpecificDisease"), ("Obesity", "SpecificDisease"),
+    ("Aspirin", "Treatment"), ("Nitroglycerin", "Treatment"), ("Monitoring", "Treatment"),
+)
+ALLOWED = tuple(name for name, _ in CANDIDATES)
 
 
 def keep_listed(entities: Column, allowed: Iterable[str]) -> Column:
@@ -24,6 +31,26 @@ def filter_entities(docs: DataFrame, entities: str, allowed: Iterable[str]) -> D
     return docs.withColumn("entities_before", F.coalesce(F.size(F.col(entities)), F.lit(0))).withColumn(entities, keep_listed(F.col(entities), allowed))
 
 
+def filter_by_table(docs: DataFrame, key: str, entities: str, allowed: DataFrame, name: str) -> DataFrame:
+    """As :func:`filter_entities` with an allow list of any length: ``allowed`` meets the entities by a join.
+
+    ``key`` must be unique; ``entities`` keeps its order. A name that a third of the entities bear is folded before it is
+    looked up: only distinct names travel to the list.
+    """
+    rows = cut(docs.withColumn("entities_before", F.coalesce(F.size(F.col(entities)), F.lit(0))))
+    each = rows.select(F.col(key).alias("_k"), F.posexplode(entities).alias("_i", "_e")).withColumn("_n", F.lower("_e.texto"))
+    listed = allowed.select(F.lower(F.col(name)).alias("_n")).filter("_n is not null").distinct()
+    kept = join_lookup(cut(each.filter("_n is not null")), listed, "_n").groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("_i", "_e"))).alias("_x"))
+    none = F.when(F.col(entities).isNotNull(), F.slice(F.col(entities), 1, 0))
+    out = rows.join(kept, rows[key] == kept["_k"], "left").withColumn(entities, F.coalesce(F.transform("_x", lambda x: x["_e"]), none))
+    return out.drop("_k", "_x")
+
+
+def samples(docs: DataFrame, order: str, entities: str | None = None, n: int = 5) -> DataFrame:
+    """The first ``n`` documents in order, for a look at them; of those with entities only, if their column is named."""
+    return (docs.filter(F.size(F.col(entities)) > 0) if entities else docs).orderBy(order).limit(n)
+
+
 def filter_statistics(filtered: DataFrame, entities: str) -> DataFrame:
     """One row: documents, entities before and after, removed, and the share kept in percent (0 if there were none)."""
     n = F.greatest(F.coalesce(F.size(F.col(entities)), F.lit(0)), F.lit(0))

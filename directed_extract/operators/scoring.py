@@ -86,3 +86,9 @@ def strategy_counts(accepted_rows: DataFrame) -> DataFrame:
 def confidence_histogram(accepted_rows: DataFrame) -> DataFrame:
     band = F.when(F.col("confidence") >= 0.9, "high").when(F.col("confidence") >= 0.7, "medium").when(F.col("confidence") >= 0.5, "low").otherwise("below")
     return accepted_rows.groupBy(band.alias("band")).agg(F.count("*").alias("n_entities"))
+
+
+def confidence_ranges(docs: DataFrame, confidences: str) -> DataFrame:
+    """``docs`` with the least and the greatest of the confidences in a map column, 0 where it is empty or NULL."""
+    of = lambda f: F.round(F.coalesce(f(F.map_values(F.col(confidences))), F.lit(0.0)), 3)
+    return docs.withColumns({"min_confidence": of(F.array_min), "max_confidence": of(F.array_max)}).drop(confidences)

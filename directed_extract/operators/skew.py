@@ -30,9 +30,9 @@ def join_lookup(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner"
     ``1 / hot_share``, the lookup's rows are broadcast, the others meet by shuffle. Rows with a NULL key meet nothing: a
     left join keeps them without moving them. ``rows`` is read several times and should be a written table.
     """
-    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    hot = counts.filter(F.col("_n") > max(1, int(total * hot_share))).select(key)
+    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows_of_key"))
+    total = counts.agg(F.sum("_rows_of_key")).first()[0] or 0
+    hot = counts.filter(F.col("_rows_of_key") > max(1, int(total * hot_share))).select(key)
     met = rows.join(F.broadcast(hot.join(lookup, key, how)), key)
     rest = rows.join(F.broadcast(hot), key, "left_anti")
     out = met.unionByName(rest.filter(F.col(key).isNotNull()).join(lookup, key, how))
