@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,12 +14,8 @@ from directed_extract.functions import text as T
 from directed_extract.operators import detect, evaluate, grid, matching, prepare, scoring
 from directed_extract.operators.chunking import chunk_documents, sentence_chunks
 from directed_extract.sources import bio, jsonl, pubtator
-from directed_extract.sources.completer import FunctionCompleter, live_entries
-from directed_extract.session import cut
-
-
-#: Names of the allow list, at most; a longer list is refused.
-MOST_ALLOWED = 1000
+from directed_extract.sources.completer import FunctionCompleter, call_tally, live_entries
+from directed_extract.session import cut, ensure_checkpoint_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,29 +54,31 @@ def surface_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.md5(T.normalize_surface(c)).alias("surface"), F.md5(T.normalize_for_match(c)).alias("match_form"), F.size(T.words(c)).alias("n_words"), F.char_length(c).alias("n_letters"))
 
 
-def allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, allowed = _allowed(spark, sf_dir)
-    kept = prepare.filter_entities(docs, "entidad", allowed)
-    return kept.select("line_id", "entities_before", F.coalesce(F.size("entidad"), F.lit(0)).alias("entities_after"))
+def _allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus with only the entities that are tests in the catalog."""
+    docs = table(spark, sf_dir, "corpus_docs").withColumn("entidad", F.coalesce("entidad", F.array().cast("array<struct<texto:string,tipo:string>>")))
+    return prepare.filter_by_table(docs, "line_id", "entidad", table(spark, sf_dir, "entity_catalog").filter("tipo = 'Test'"), "texto")
 
 
-def _allowed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
-    docs = table(spark, sf_dir, "corpus_docs").withColumn("entidad", F.coalesce("entidad", F.array().cast("array<struct<texto:string,tipo:string>>")))
-    tests = table(spark, sf_dir, "entity_catalog").filter("tipo = 'Test'").select("texto").orderBy("texto").limit(MOST_ALLOWED + 1).collect()  # a list of settings
-    if len(tests) > MOST_ALLOWED:
-        raise ValueError(f"more than {MOST_ALLOWED} names in the allow list")
-    return docs, [r.texto for r in tests]
+def allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _allowed(spark, sf_dir).select("line_id", "entities_before", F.coalesce(F.size("entidad"), F.lit(0)).alias("entities_after"))
 
 
 def allow_list_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, allowed = _allowed(spark, sf_dir)
-    return prepare.filter_statistics(prepare.filter_entities(docs, "entidad", allowed), "entidad")
+    return prepare.filter_statistics(_allowed(spark, sf_dir), "entidad")
 
 
 def constant_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    block = [(t, "SpecificDisease") for t in prepare.ALLOWED]
-    d = prepare.with_constant_candidates(table(spark, sf_dir, "corpus_docs"), "entidad", block)
-    return d.groupBy("had_entities").agg(F.count("*").alias("n_docs"), F.sum(F.size("entidad")).alias("n_candidates"))
+    """Documents by whether they had entities, and the block they all have now, as a digest of names and types."""
+    d = prepare.with_constant_candidates(table(spark, sf_dir, "corpus_docs"), "entidad", prepare.CANDIDATES)
+    block = F.md5(F.array_join(F.transform("entidad", lambda e: F.concat(e["texto"], F.lit("/"), e["tipo"])), "|"))
+    return d.groupBy("had_entities", block.alias("block_md5")).agg(F.count("*").alias("n_docs"), F.sum(F.size("entidad")).alias("n_candidates"))
+
+
+def first_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five documents that have entities, for a look at them."""
+    d = prepare.samples(table(spark, sf_dir, "corpus_docs"), "line_id", "entidad")
+    return d.select("line_id", T.preview(F.coalesce("texto", F.lit(""))).alias("preview"), F.size("entidad").alias("n_entities"))
 
 
 def type_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +146,7 @@ def cache_live(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stand_in_model(model: str, prompt: str) -> str:
     """A deterministic stand-in for a model: names what looks like a disease or gene, sometimes in a broken answer."""
-    found = sorted(set(re.findall(r"[A-Z][a-z]{4,} syndrome(?: type \d)?|[A-Z]{4}\d{1,2}|[a-z]{6,}itis", prompt)))[:6]
+    found = sorted(set(re.findall(r"[A-Z][a-z]{4,} syndrome(?: type \d)?|[A-Z]{4}\d{1,2}|[a-z]{6,}itis", prompt)))
     kind = len(prompt) % 7
     if kind == 0:
         return "No list today: " + ", ".join(found)
@@ -164,6 +163,21 @@ def pipeline_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.col("doc").alias("line_id"), "entity", "confidence", "n_strategies", F.array_join("strategies", ",").alias("strategies"))
 
 
+def unsteady_model(model: str, prompt: str) -> str:
+    """A stand-in for a server that refuses some prompts."""
+    if len(prompt) % 5 == 0:
+        raise ConnectionError("refused")
+    return stand_in_model(model, prompt)
+
+
+def call_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of a run whose server refuses some prompts, by round and status."""
+    run = [s for s in strategies(spark, sf_dir) if s.can_run and s.is_valid]
+    docs = table(spark, sf_dir, "corpus_docs").filter("texto is not null").withColumn("candidates", F.coalesce(_candidates(), F.array().cast("array<string>")))
+    asked = detect.model_run(docs, F.col("line_id"), "texto", "candidates", run, FunctionCompleter(unsteady_model), calls=detect.Calls(attempts=2, pause=0.0))
+    return call_tally(asked.calls.filter("round = 1")).select("status", "n_calls", "n_attempts")
+
+
 # Scores
 
 
@@ -201,6 +215,12 @@ def confidence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.confidence_summary(_scores(spark, sf_dir))
 
 
+def confidence_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Range of confidence of each document over its entities by name."""
+    d = _scores(spark, sf_dir).groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("entity", "confidence"))).alias("c"))
+    return scoring.confidence_ranges(d, "c")
+
+
 def confidence_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.confidence_histogram(scoring.accepted(_scores(spark, sf_dir)))
 
@@ -288,7 +308,8 @@ def eval_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
     fp = evaluate.false_positives(_predictions(spark, sf_dir), _gold(spark, sf_dir))
-    return fp.select(F.col("doc").alias("pred_id"), "pmid", "entity", "confidence", F.array_join("strategies", ",").alias("strategies"))
+    listed = F.array_join(F.array_sort("benchmark_entities"), "|").alias("benchmark_entities")
+    return fp.select(F.col("doc").alias("pred_id"), "pmid", "entity", "confidence", F.array_join("strategies", ",").alias("strategies"), listed)
 
 
 def false_positives_by_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,6 +321,17 @@ def false_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.false_negatives(_predictions(spark, sf_dir), _gold(spark, sf_dir))
 
 
+def false_negative_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missed entities with what was predicted for their document, and the beginning of its last delivered text."""
+    texts = table(spark, sf_dir, "corpus_docs").filter("pmid is not null").groupBy("pmid").agg(F.max_by("texto", "line_id").alias("text"))
+    fn = evaluate.false_negatives(_predictions(spark, sf_dir), _gold(spark, sf_dir), texts)
+    return fn.select("pmid", "entity", F.array_join("predicted_entities", "|").alias("predicted_entities"), "preview")
+
+
+def error_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.error_totals(cut(_predictions(spark, sf_dir)), _gold(spark, sf_dir))
+
+
 def false_negatives_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return false_negatives(spark, sf_dir).groupBy("pmid").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("entity")), "|").alias("entities"))
 
@@ -320,10 +352,7 @@ def grid_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _grid_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profile and metrics of every grid file; metrics are rounded as they were once printed."""
-    p = _predictions(spark, sf_dir)
-    m = evaluate.metrics(evaluate.evaluate_documents(p, _gold(spark, sf_dir)), "file", digits=3).select("file", "precision", "recall", "f1_score")
-    return grid.file_parameters(grid.file_profile(p), "file").join(m, "file", "left")
+    return grid.results(cut(_predictions(spark, sf_dir)), _gold(spark, sf_dir))
 
 
 def grid_means_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -367,10 +396,12 @@ def bio_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pubtator_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Annotated documents written as PubTator lines, a file for each source file, and read again."""
-    d = table(spark, sf_dir, "benchmark_docs").filter(F.col("pmid").rlike(r"^\d+$")).withColumn("e", F.filter("entidad", lambda e: e["texto"].isNotNull()))
+    """Annotated documents written as files of PubTator lines and read again. Lines of other identifiers mean nothing there."""
+    d = table(spark, sf_dir, "benchmark_docs").withColumn("e", F.filter("entidad", lambda e: e["texto"].isNotNull()))
     note = lambda e: F.concat_ws("\t", F.col("pmid"), F.lit("0"), F.lit("9"), e["texto"], F.coalesce(e["tipo"], F.lit("Modifier")), F.lit("D0"))
     lines = F.concat(F.array(F.concat("pmid", F.lit("|t|Title "), F.col("gold_id").cast("string")), F.concat("pmid", F.lit("|a| Abstract "))), F.coalesce(F.transform("e", note), F.array().cast("array<string>")), F.array(F.lit("")))
-    each = d.select((F.col("gold_id") % 16).alias("file"), "gold_id", F.posexplode(lines).alias("i", "line"))
-    got = pubtator.parse(each.select("file", (F.col("gold_id") * 100_000 + F.col("i")).alias("pos"), "line"))
+    each = d.select((F.col("gold_id") % 16).alias("file"), "gold_id", F.posexplode(lines).alias("i", "line")).withColumn("line", F.coalesce("line", F.lit("")))
+    path = f"{ensure_checkpoint_dir(spark)}/pubtator_{uuid.uuid4().hex}"
+    each.repartition("file").sortWithinPartitions("file", "gold_id", "i").select("file", "line").write.partitionBy("file").text(path)
+    got = pubtator.parse(pubtator.read_lines(spark, path))
     return got.select("PMID", "Texto", F.size("Entidad").alias("n_entities"), F.md5(F.array_join(F.transform("Entidad", lambda e: F.concat_ws("/", e["texto"], e["tipo"])), "|")).alias("entities_md5"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from directed_extract.operators.grid import CHUNK_FILE, TEMPERATURE_FILE
+
 # Pieces of SQL that several statements share.
 SP = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 
@@ -171,8 +173,7 @@ PROFILE = """profile AS (
          round(coalesce(min(CASE WHEN e.texto IS NOT NULL THEN coalesce(e.confidence, 0.0) END), 0.0), 6) AS min_conf, round(coalesce(max(CASE WHEN e.texto IS NOT NULL THEN coalesce(e.confidence, 0.0) END), 0.0), 6) AS max_conf,
          count(DISTINCT lower(e.texto)) AS unique_entities
   FROM raw r LEFT JOIN ents e ON e.pred_id = r.pred_id GROUP BY r.file_name)"""
-CHUNK_FILE = r"^results_(llama|qwen)_n2c2_chunk(\d+)_ov(\d+)\.jsonl$"
-TEMP_FILE = r"^results_temp([\d.]+)_conf([\d.]+)\.jsonl$"
+TEMP_FILE = TEMPERATURE_FILE
 RESULTS = f"""{JUDGED}, {PROFILE},
 measured AS ({metrics('judged', 3, 'file_name')}),
 results AS (
@@ -248,7 +249,39 @@ leaves AS (
     SELECT pred_id, place, i, {opened('items[i]')} AS x FROM (SELECT pred_id, place, items, unnest(range(1, len(items) + 1)) AS i FROM named))
   UNION ALL {of_map('all_detections')} UNION ALL {of_map('entity_strategies')})"""
 
+# The stand-in model in SQL: what it names in a prompt, and how it answers.
+NAMED = r"[A-Z][a-z]{4,} syndrome(?: type [0-9])?|[A-Z]{4}[0-9]{1,2}|[a-z]{6,}itis"
+SUFFIXES = "disease|syndrome|cancer|tumor|anemia|deficiency|mutation|gene"
+LOOSE = " || ".join(f"regexp_extract_all(answer, '{p}')" for p in (
+    rf"(?i)\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:{SUFFIXES})\b", r"(?i)\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:G\d+PD|BRCA\d+|ATM|LCAT)\b", r"(?i)\b(?:G6PD|BRCA1|BRCA2|ATM|LCAT)\b"))
+
+
+def named(prompt: str) -> str:
+    return f"list_sort(list_distinct(regexp_extract_all({prompt}, '{NAMED}')))"
+
+
+ASKED = windows("chars").rpartition("SELECT doc_id")[0].replace("FROM documents, runs WHERE text IS NOT NULL", "FROM (SELECT line_id AS doc_id, texto AS text FROM corpus_docs), runs WHERE text IS NOT NULL").replace(
+    "WHERE model IS NOT NULL AND chunk_target > 0 AND chunk_overlap >= 0", "WHERE model IS NOT NULL AND chunk_target > 0 AND chunk_overlap >= 0 AND chunk_min > 0 AND chunk_max > chunk_min AND temperature BETWEEN 0 AND 1 AND weight > 0"
+) + f""", asked AS (SELECT doc_id, name, model, 'Diseases in this text: ' || chunk || chr(10) || chr(10) || 'Return ONLY a JSON list like: ["disease1", "disease2"]' AS p1,
+  'TEXT: ' || chunk || chr(10) || chr(10) || 'EXTRACT disease names. If you find any diseases, return them as: ["disease1", "disease2"]' || chr(10) || 'If you find NO diseases, return: []' AS p2
+  FROM (SELECT doc_id, name, unnest(c) AS chunk FROM chunks) JOIN (SELECT name, model FROM strategies) USING (name) WHERE {strip('chunk')} <> '')"""
+PIPELINE = f"""{ASKED},
+answers AS (SELECT doc_id, name, CASE WHEN length(p1) % 7 <> 0 THEN {named('p1')} WHEN length(p2) % 7 <> 0 THEN {named('p2')} ELSE [] END AS terms,
+  CASE WHEN length(p1) % 7 = 0 AND (length(p2) % 7 = 0 OR len({named('p2')}) = 0) THEN CASE WHEN length(p2) % 7 = 0 THEN 'No list today: ' ELSE '' END || array_to_string({named('p2')}, ', ') END AS answer FROM asked),
+offered AS (SELECT line_id, list_distinct({texts('entidad')}) AS c, {texts('entidad')} AS ordered FROM corpus_docs WHERE texto IS NOT NULL),
+terms AS (
+  SELECT DISTINCT doc_id, name, term FROM (SELECT doc_id, name, unnest(terms) AS term FROM answers
+    UNION ALL SELECT doc_id, name, term FROM (SELECT doc_id, name, unnest({LOOSE}) AS term FROM answers WHERE answer IS NOT NULL) JOIN offered ON line_id = doc_id WHERE list_contains(list_transform(c, lambda x: lower(x)), lower(term)))),
+pairs AS (SELECT line_id, k, ordered[k] AS candidate FROM (SELECT line_id, ordered, unnest(range(1, len(ordered) + 1)) AS k FROM offered)),
+hits AS (SELECT doc_id, name, term, arg_min(candidate, k) AS entity FROM terms JOIN pairs ON line_id = doc_id
+  WHERE {key('candidate')} = {key('term')} OR {contained(key('candidate'), key('term'))} OR {fuzzy_pair(key('term'), key('candidate'))} GROUP BY doc_id, name, term),
+both_kinds AS (SELECT DISTINCT doc_id AS doc, name AS strategy, entity FROM hits UNION SELECT line_id, 'regex', e FROM {SQL_CANDIDATES} WHERE {_bounded()}),
+{SCORES.partition("evidence AS (")[1]}{SCORES.partition("evidence AS (")[2].replace("FROM once JOIN", "FROM both_kinds JOIN").replace("JOIN strategies s ON", "JOIN (SELECT ord, name, weight FROM strategies) s ON")}"""
+
 ORACLES: dict[str, str] = {
+    "pipeline_accepted": f"{PIPELINE} SELECT doc AS line_id, entity, confidence, cast(n AS INT) AS n_strategies, strategies FROM accepted",
+    "call_status": f"""{ASKED}, prompts AS (SELECT DISTINCT model, p1 FROM asked)
+SELECT CASE WHEN length(p1) % 5 = 0 THEN 'failed' ELSE 'ok' END AS status, count(*) AS n_calls, cast(sum(CASE WHEN length(p1) % 5 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS n_attempts FROM prompts GROUP BY 1""",
     "p1_found": f"WITH {DANGLING} SELECT table_name, row_id FROM judged_refs WHERE lost",
     "p1_report": f"""WITH {DANGLING} SELECT table_name, strftime(t, '%Y-%m') AS period, count(*) AS n_refs, count(*) FILTER (lost) AS n_dangling, count(DISTINCT k) FILTER (lost) AS n_keys,
 count(*) FILTER (lost AND k NOT IN (SELECT k FROM events WHERE present = 1)) AS n_never_came FROM judged_refs GROUP BY 1, 2""",
@@ -263,7 +296,11 @@ SELECT line_id, cast(coalesce(len(entidad), 0) AS INT) AS entities_before, cast(
     "allow_list_stats": """WITH allowed AS (SELECT lower(texto) AS a FROM entity_catalog WHERE tipo = 'Test'),
 n AS (SELECT (SELECT count(*) FROM corpus_docs) AS n_docs, count(*) AS b, count(*) FILTER (lower(e.texto) IN (SELECT a FROM allowed)) AS k FROM (SELECT unnest(entidad) AS e FROM corpus_docs))
 SELECT n_docs, b AS n_before, k AS n_after, b - k AS n_removed, round(coalesce(k * 100.0 / nullif(b, 0), 0.0), 4) AS kept_percent FROM n""",
-    "constant_candidates": "SELECT coalesce(len(entidad) > 0, false) AS had_entities, count(*) AS n_docs, cast(count(*) * 10 AS BIGINT) AS n_candidates FROM corpus_docs GROUP BY 1",
+    "constant_candidates": """SELECT coalesce(len(entidad) > 0, false) AS had_entities, (SELECT md5(string_agg(t || '/' || k, '|' ORDER BY i)) FROM (VALUES
+(1, 'Short of breath', 'SpecificDisease'), (2, 'Chest pain', 'SpecificDisease'), (3, 'Orthopnea', 'SpecificDisease'), (4, 'Hypertension', 'SpecificDisease'), (5, 'Hyperlipidemia', 'SpecificDisease'),
+(6, 'Angina', 'SpecificDisease'), (7, 'Obesity', 'SpecificDisease'), (8, 'Aspirin', 'Treatment'), (9, 'Nitroglycerin', 'Treatment'), (10, 'Monitoring', 'Treatment')) b(i, t, k)) AS block_md5,
+count(*) AS n_docs, cast(count(*) * 10 AS BIGINT) AS n_candidates FROM corpus_docs GROUP BY 1""",
+    "first_samples": "SELECT line_id, CASE WHEN length(texto) > 200 THEN left(texto, 200) || '...' ELSE coalesce(texto, '') END AS preview, cast(len(entidad) AS INT) AS n_entities FROM corpus_docs WHERE len(entidad) > 0 ORDER BY line_id LIMIT 5",
     "type_names": "SELECT CASE e.tipo WHEN 'SpecificDisease' THEN 'disease' WHEN 'Treatment' THEN 'therapy' WHEN 'Test' THEN 'procedure' ELSE e.tipo END AS tipo, count(*) AS n FROM (SELECT unnest(entidad) AS e FROM corpus_docs) WHERE e IS NOT NULL GROUP BY 1",
     "valid_strategies": """SELECT name, coalesce(chunk_target > 0 AND chunk_overlap >= 0 AND chunk_min > 0 AND chunk_max > chunk_min AND temperature BETWEEN 0 AND 1 AND weight > 0, false) AS is_valid,
 coalesce(chunk_target > 0 AND chunk_overlap >= 0, false) AS can_run FROM strategies WHERE model IS NOT NULL""",
@@ -290,6 +327,7 @@ SELECT key, expiry FROM live WHERE n < 200 OR rn > n // 4""",
     "accepted_top": f"WITH {SCORES} SELECT doc, arg_min(entity, struct_pack(a := -confidence, b := entity)) AS first_entity, cast(count(*) AS INT) AS n_accepted FROM accepted GROUP BY doc",
     "confidence_summary": f"""WITH {SCORES} SELECT count(*) AS total, round(coalesce(avg(confidence), 0.0), 6) AS mean_confidence, coalesce(min(confidence), 0.0) AS min_confidence, coalesce(max(confidence), 0.0) AS max_confidence,
 count(*) FILTER (confidence >= 0.9) AS high, count(*) FILTER (confidence >= 0.7 AND confidence < 0.9) AS medium, count(*) FILTER (confidence >= 0.5 AND confidence < 0.7) AS low, count(*) FILTER (confidence < 0.5) AS below_threshold FROM scores""",
+    "confidence_ranges": f"WITH {SCORES} SELECT doc, round(min(confidence), 3) AS min_confidence, round(max(confidence), 3) AS max_confidence FROM scores GROUP BY doc",
     "confidence_histogram": f"WITH {SCORES} SELECT CASE WHEN confidence >= 0.9 THEN 'high' WHEN confidence >= 0.7 THEN 'medium' WHEN confidence >= 0.5 THEN 'low' ELSE 'below' END AS band, count(*) AS n_entities FROM accepted GROUP BY 1",
     "strategy_counts": f"WITH {SCORES} SELECT strategy, count(*) AS n_entities FROM (SELECT unnest(string_split(strategies, ',')) AS strategy FROM accepted) GROUP BY 1",
     "run_summary": f"""WITH {SCORES}, d AS (SELECT count(DISTINCT run_id || '/' || pmid) AS n FROM detections) SELECT d.n AS n_docs, count(*) AS n_entities, round(coalesce(count(*) / nullif(d.n, 0), 0.0), 6) AS entities_per_doc,
@@ -311,10 +349,18 @@ SELECT line_id, cast(pos AS INT) AS pos, round({jaccard('m', 'n')}, 6) AS simila
     "eval_overall": f"WITH {JUDGED} {metrics('judged', 9)}",
     "eval_strategies": f"""WITH {PREDICTIONS}, hits AS (SELECT unnest(e.strategies) AS strategy, len(list_filter(g.reference, lambda r: {matches(match_form('e.texto'), match_form('r'))})) > 0 AS hit FROM ents e JOIN gold g USING (pmid) WHERE len(g.reference) > 0)
 SELECT strategy, count(*) FILTER (hit) AS tp, count(*) FILTER (NOT hit) AS fp, round(count(*) FILTER (hit) / count(*), 9) AS precision FROM hits GROUP BY strategy""",
-    "false_positives": f"WITH {FP} SELECT pred_id, pmid, entity, confidence, array_to_string(strategies, ',') AS strategies FROM fp",
+    "false_positives": f"WITH {FP} SELECT pred_id, pmid, entity, confidence, array_to_string(strategies, ',') AS strategies, coalesce(l, '') AS benchmark_entities FROM fp LEFT JOIN (SELECT pmid, string_agg(entity, '|' ORDER BY entity) AS l FROM known GROUP BY pmid) USING (pmid)",
     "false_positives_by_strategy": f"WITH {FP} SELECT strategy, count(*) AS n FROM (SELECT unnest(strategies) AS strategy FROM fp) GROUP BY strategy",
     "false_negatives": f"WITH {FN} SELECT pmid, entity FROM fn",
     "false_negatives_by_document": f"WITH {FN} SELECT pmid, count(*) AS n, string_agg(entity, '|' ORDER BY entity) AS entities FROM fn GROUP BY pmid",
+    "false_negative_details": f"""WITH {FN}, said AS (SELECT pmid, string_agg(DISTINCT {key('texto')}, '|' ORDER BY {key('texto')}) AS l FROM ents GROUP BY pmid), last AS (SELECT pmid, arg_max(texto, line_id) AS t FROM corpus_docs WHERE texto IS NOT NULL GROUP BY pmid)
+SELECT fn.pmid, entity, coalesce(l, '') AS predicted_entities, CASE WHEN length(t) > 200 THEN left(t, 200) || '...' ELSE t END AS preview FROM fn LEFT JOIN said USING (pmid) LEFT JOIN last USING (pmid)""",
+    "error_totals": f"""WITH {PREDICTIONS}, mine AS (SELECT r.pred_id, r.pmid, count(DISTINCT {key('e.texto')}) AS n FROM raw r LEFT JOIN ents e ON e.pred_id = r.pred_id GROUP BY ALL), known AS (SELECT DISTINCT pmid, {key('r')} AS entity FROM (SELECT pmid, unnest(reference) AS r FROM gold)),
+sizes AS (SELECT g.pmid, count(k.entity) AS k FROM gold g LEFT JOIN known k USING (pmid) GROUP BY g.pmid), said AS (SELECT DISTINCT pmid, {key('texto')} AS entity FROM ents)
+SELECT (SELECT cast(sum(n) AS BIGINT) FROM mine) AS n_predicted, (SELECT cast(sum(k) AS BIGINT) FROM mine JOIN sizes USING (pmid)) AS n_benchmark, (SELECT count(DISTINCT pmid) FROM mine) AS n_pmids,
+(SELECT cast(sum(k) AS BIGINT) FROM sizes WHERE pmid IN (SELECT pmid FROM raw)) AS n_reference, (SELECT count(*) FROM said WHERE pmid IN (SELECT pmid FROM sizes)) AS n_detected, (SELECT count(*) FROM sizes WHERE pmid IN (SELECT pmid FROM raw)) AS n_pmids_with_benchmark,
+(SELECT count(*) FROM (SELECT DISTINCT pred_id, pmid, {key('texto')} AS entity FROM ents) ANTI JOIN known USING (pmid, entity)) AS n_false_positives,
+(SELECT count(*) FROM known ANTI JOIN said USING (pmid, entity) WHERE pmid IN (SELECT pmid FROM raw)) AS n_false_negatives""",
     "param_grid_chunks": "SELECT t.chunk, o.overlap FROM (VALUES (20), (40), (60), (80), (100)) t(chunk), (VALUES (10), (20), (30), (40), (50)) o(overlap) WHERE o.overlap < t.chunk",
     "param_grid_temperatures": "SELECT cast(t / 10 AS DOUBLE) AS temperature, cast(c / 10 AS DOUBLE) AS confidence FROM range(0, 11) a(t), range(1, 6) b(c)",
     "grid_profile": f"WITH {PREDICTIONS}, {PROFILE} SELECT * FROM profile",

@@ -12,6 +12,6 @@ FLAGSHIP = "accepted_entities"
 
 CORPUS = ("p1_found", "p1_report", "p3_found")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    name: getattr(corpus if name in CORPUS else extraction, name) for name in [*oracle.ORACLES, "pipeline_accepted"]
+    name: getattr(corpus if name in CORPUS else extraction, name) for name in oracle.ORACLES
 }
 ORACLES: dict[str, str] = dict(oracle.ORACLES)
