@@ -261,10 +261,3 @@ def test_ranks_and_hot_groups(spark):
     counts = df.groupBy("g").agg(F.count("*").alias("n"))
     assert join_groups(df, counts, "g", "n", hot_share=0.1).count() == 1000
     assert join_groups(df.filter("false"), counts.filter("false"), "g", "n").count() == 0
-
-
-def test_longer_allow_list_than_the_bound_is_refused(spark, tmp_path):
-    spark.range(1001).selectExpr("concat('t', id) AS texto", "'Test' AS tipo").write.parquet(str(tmp_path / "entity_catalog.parquet"))
-    spark.createDataFrame([], "line_id bigint, entidad array<struct<texto:string,tipo:string>>").write.parquet(str(tmp_path / "corpus_docs.parquet"))
-    with pytest.raises(ValueError, match="allow list"):
-        extraction.allow_list(spark, str(tmp_path))
