@@ -9,7 +9,8 @@ KINDS = [
     ['{"PMID": "12", "texto": "crónica"}', '{"PMID": "12", "texto": "crónica"}', '{"PMID": "12", "texto": "cr\\u00f3nica"}', '{"PMID": "12", "texto": "cro\\u0301nica"}'],
     ['{"PMID": "12", "texto": "cronica"}'], ['{"PMID": "12", "texto": "crónica", "x": ""}'], ['{"PMID": "12", "texto": null}'], ['{"PMID": "12", "texto": "null"}'], ['{"PMID": "12"}'],
     ["not json", "not json"], ["Not json"], ["{'a': 1}"], ['{"a": 1} x'], ["[1]"], [""],
-    ['{"a": {"b": 1, "C": [2, "x."]}}', '{"A": {"c": [2, "X"], "b": "1"}}'], ['{"a": {"b": 1, "C": ["x", 2]}}'], ["{}"], [json.dumps({"a": "z" * 100_000}), json.dumps({"A": "Z-" * 100_000})],
+    ['{"a": {"b": 1, "C": [2, "x."]}}', '{"A": {"c": [2, "X"], "b": "1"}}'], ['{"a": {"b": 1, "C": ["x", 2]}}'], ["{}"], ['{"a": 1e2, "b": -1.50}', '{"a": "1e2", "b": "1.50"}', '{"b": "1 50", "A": "1E2"}'], ['{"a": 1.50, "b": [1E2, true]}', '{"a": "1.50", "b": ["1e2", "True"]}'],
+    ['{"a": [["b", "1"]]}'], ['{"a": {"b": 1}}'], ['{"a": 100}'], ['{"texto": "Nota, [grave] caso"}', '{"texto":"nota grave caso"}'], [json.dumps({"a": "z" * 100_000}), json.dumps({"A": "Z-" * 100_000})],
 ]
 
 
@@ -57,6 +58,15 @@ def test_half_written_batch_does_not_count(spark, tmp_path):
     assert [(r.n, r.first_id) for r in book.read().collect()] == [(2, 1)]
 
 
+def test_buckets_double_as_keys_grow(spark, tmp_path):
+    book = Ledger(spark, str(tmp_path / "book"), buckets=2, bucket_keys=10)
+    for batch in range(3):
+        book.add(keyed(spark, [(100 * batch + i, f'{{"a": "{v}"}}') for i, v in enumerate([*range(40 * batch, 40 * batch + 40), "same"])]))
+    assert book._manifest()[1] == 16 and len(book._manifest()[2]) == 16
+    got = {r.n: k for r in book.read().groupBy("n").count().collect() for k in [r["count"]]}
+    assert got == {1: 120, 3: 1} and book.read().filter("n = 3").first().first_id == 40
+
+
 def test_hot_kind(spark, tmp_path):
     rows = spark.range(3000).select(canonical_key(F.when(F.col("id") % 3 == 0, F.lit('{"a": 1}')).otherwise(F.concat(F.lit('{"a": "v'), "id", F.lit('"}')))).alias("key"), "id")
     book = Ledger(spark, str(tmp_path / "book"))
