@@ -142,7 +142,12 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.looking_alike(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the class of documents that look like it."""
+    return canonical.classes(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All texts in their consistent form, and in the folded form used for comparisons."""
+    """All texts in their consistent form, and the digest of the folded form used for comparisons."""
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", canonical.canonical(F.col("text")).alias("form"), F.md5(canonical.canonical(F.col("text"), fold=True)).alias("folded_digest"))
+    return d.select("doc_id", canonical.canonical(spark, F.col("text")).alias("form"), F.md5(canonical.canonical(spark, F.col("text"), fold=True)).alias("folded_digest"))

@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_report": q.p8_report,
     "p8_temperature": q.p8_temperature,
     "p9_found": q.p9_found,
+    "p9_classes": q.p9_classes,
     "p9_forms": q.p9_forms,
 }
 ORACLES: dict[str, str] = {}
