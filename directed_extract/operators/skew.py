@@ -47,3 +47,16 @@ def hot_parts(counts: DataFrame, key: str, count: str, hot_share: float = HOT_SH
     total = counts.agg(F.sum(count)).first()[0] or 0
     limit = max(1, int(total * hot_share))
     return counts.filter(F.col(count) > limit).select(key, F.ceil(F.col(count) / F.lit(limit)).cast("int").alias("parts"))
+
+
+def join_spread(rows: DataFrame, by: str, other: DataFrame, key: str, hot_share: float = HOT_SHARE) -> DataFrame:
+    """Inner join on ``key`` of two tables that may both have many rows for one key; ``other`` must not have most of them.
+
+    The rows of a hot key are spread over as many parts as their count asks for, by a hash of ``by``; the key's rows of
+    ``other`` are repeated for each part. ``rows`` is read twice and should be a written table.
+    """
+    parts = F.broadcast(hot_parts(rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_m")), key, "_m", hot_share))
+    left = rows.join(parts, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(by), F.col("parts")), F.lit(0))).drop("parts")
+    each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("parts") - 1, F.lit(0)).cast("bigint")))
+    right = other.join(parts, key, "left").withColumn("_part", each).drop("parts")
+    return left.join(right, [key, "_part"]).drop("_part")
