@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 
@@ -10,15 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from directed_extract.operators.skew import join_groups
+from directed_extract.operators.skew import join_groups, join_spread
 from directed_extract.session import cut
 
 #: Share of an entry's weight that the value must cover, each token counted with its similarity.
 COVER = 0.85
 #: What one edit takes from the similarity of a token.
 EDIT_COST = 0.05
-#: A word of the reference list in at least so many names is a common word: it may be abbreviated, and short ones mistyped.
-COMMON = 10
+#: A word in at least this share of the reference names is a common word: it may be abbreviated, and short ones mistyped.
+#: There can be no more common words than a name has words on average, divided by this.
+COMMON_SHARE = 0.01
+#: And in at least so many: a few names tell nothing about what is common.
+COMMON_LEAST = 10
 #: Numbers of so many digits are years or the like and belong to a remark, unless the entry has them itself.
 REMARK_DIGITS = 4
 
@@ -82,24 +86,26 @@ def distance(a: str, b: str, most: int) -> int:
     return min(row[-1], most + 1)
 
 
-def shortened(token: str, edits: int) -> list[str]:
-    """The token with up to ``edits`` letters left out. Two tokens within that distance share one of these."""
-    out, last = {token}, {token}
-    for _ in range(edits):
-        last = {t[:i] + t[i + 1 :] for t in last for i in range(len(t))}
-        out |= last
-    return sorted(out)
+def shortened(token: Column, edits: Column) -> Column:
+    """The token with up to ``edits`` (0 to 2) letters left out. Two tokens within that distance share one of these."""
+    without = lambda t, i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.char_length(t)))
+    places = lambda t: F.sequence(F.lit(1), F.char_length(t))
+    one = F.when((edits > 0) & (F.char_length(token) > 0), F.transform(places(token), lambda i: without(token, i)))
+    # of the second letter left out it is enough to try those from the first on
+    later = lambda i: F.when(i < F.char_length(token), F.transform(F.sequence(i, F.char_length(token) - 1), lambda j: without(without(token, i), j)))
+    two = F.when(edits > 1, F.flatten(F.transform(places(token), lambda i: F.coalesce(later(i), F.array().cast("array<string>")))))
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(F.array(token), F.coalesce(one, none), F.coalesce(two, none)))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _tokens(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else tokens(v))
+def allowed(token: Column) -> Column:
+    """:func:`edits_allowed` of a column of words."""
+    return F.when(F.length(token) < 4, 0).when(F.length(token) < 8, 1).otherwise(2)
 
 
 @F.pandas_udf(ArrayType(StringType()))
-def _shortened(values: pd.Series) -> pd.Series:
-    # two letters more make the longer word that sets the limit
-    return values.map(lambda v: shortened(v, edits_allowed(v + "..")))
+def _tokens(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else tokens(v))
 
 
 @F.pandas_udf(IntegerType())
@@ -118,32 +124,45 @@ def reference_names(reference: DataFrame, entry: str, name: str, aliases: str |
     return flat.select("concept", _tokens("name").alias("t")).select("concept", F.array_distinct("t").alias("toks"), numbers(F.col("t")).alias("nums")).filter("size(toks) > 0").distinct()
 
 
-def repair_tokens(seen: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def near_words(tokens_seen: DataFrame, words: DataFrame) -> DataFrame:
+    """``(token, word, d)``: all pairs within the edits that the longer of the two allows, by distance.
+
+    Pairs come from common forms with letters left out, which loses none within two edits. The plain edit distance, in
+    which a swap of neighbours costs two, settles most; whether others are swaps shows first in their sorted letters, and
+    only what is left is compared letter by letter.
+    """
+    letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
+    longest = words.agg(F.max(F.length("word"))).first()[0] or 0
+    # two letters more make the longer word that sets the limit; a token of more than two above the longest is near none
+    edits = lambda c: allowed(F.concat(c, F.lit("..")))
+    a = tokens_seen.filter((F.length("token") <= longest + 2) & (F.length("token") > 3)).select("token", F.explode(shortened(F.col("token"), edits(F.col("token")))).alias("form"))
+    b = words.select("word", F.explode(shortened(F.col("word"), edits(F.col("word")))).alias("form"))
+    longer = F.when(F.length("token") > F.length("word"), F.col("token")).otherwise(F.col("word"))
+    pairs = a.join(b, "form").select("token", "word").distinct().withColumn("most", allowed(longer)).filter("most > 0")
+    pairs = cut(pairs.withColumn("plain", F.levenshtein("token", "word", 4)).filter((F.col("plain") >= 0) & (F.col("plain") <= 2 * F.col("most"))))
+    easy = pairs.filter("plain <= 1").select("token", "word", F.col("plain").alias("d"))
+    moved = F.levenshtein(letters(F.col("token")), letters(F.col("word")), 2)
+    hard = pairs.filter("plain > 1").filter((F.col("plain") <= F.col("most")) | ((moved >= 0) & (moved <= 2 * (2 * F.col("most") - F.col("plain")))))
+    return easy.unionByName(hard.withColumn("d", _distance("token", "word")).filter("d <= most").select("token", "word", "d"))
+
+
+def repair_tokens(seen: DataFrame, vocabulary: DataFrame, common: int) -> DataFrame:
     """``(token, word, sim)``: the words of the reference list each distinct token may stand for.
 
     ``seen`` has ``token``, ``vocabulary`` ``(word, df)``. A token of the vocabulary stands for itself only. Any other is
-    joined to the words within its edits (of the longer of the two) through the forms with letters left out, which loses no word within that
-    distance, and checked by the distance itself. A word of at most five letters is only reached this way if it is common:
-    rare short words are symbols, of which another letter makes another symbol. Short tokens also stand for the common
-    words they begin.
+    joined to the words within its edits (see :func:`near_words`). A word of at most five letters is only reached this way
+    if it is common, in at least ``common`` names: rare short words are symbols, of which another letter makes another
+    symbol. Tokens also stand for the common words they begin.
     """
     same = seen.join(vocabulary, seen.token == vocabulary.word, "left_semi").select("token", F.col("token").alias("word"), F.lit(1.0).alias("sim"))
     parts = int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work for each token
     foreign = cut(seen.join(vocabulary, seen.token == vocabulary.word, "left_anti").filter(~F.col("token").rlike(r"^\d+$")).repartition(parts, "token"))
     words = vocabulary.filter(~F.col("word").rlike(r"^\d+$"))
-    open_words = words.filter((F.length("word") > 5) | (F.col("df") >= COMMON))
-    longest = open_words.agg(F.max(F.length("word"))).first()[0] or 0
-    in_reach = foreign.filter(F.length("token") <= longest + 2)  # a longer one has no word within two edits
-    a = in_reach.select("token", F.explode(_shortened("token")).alias("form"))
-    b = open_words.select("word", F.explode(_shortened("word")).alias("form"))
-    near = a.join(b, "form").select("token", "word").distinct().withColumn("d", _distance("token", "word"))
-    allowed = lambda c: F.when(F.length(c) < 4, 0).when(F.length(c) < 8, 1).otherwise(2)
-    longer = F.when(F.length("token") > F.length("word"), F.col("token")).otherwise(F.col("word"))
-    near = near.filter((F.col("d") <= allowed(longer)) & (F.length("token") > 3))
+    near = near_words(foreign, words.filter((F.length("word") > 5) | (F.col("df") >= common)))
     near = near.select("token", "word", (1 - F.lit(EDIT_COST) * F.col("d")).alias("sim"))
-    common = words.filter(F.col("df") >= COMMON)
-    begins = common.select("word", F.explode(F.sequence(F.lit(1), F.least(F.lit(5), F.length("word") - 1))).alias("k")).select("word", F.expr("left(word, k)").alias("token"))
-    special = common.join(F.broadcast(seen.sparkSession.createDataFrame(list(SHORT_FORMS.items()), "token string, word string")), "word").select("word", "token")
+    often = words.filter(F.col("df") >= common)
+    begins = often.filter("length(word) > 1").select("word", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("k")).select("word", F.expr("left(word, k)").alias("token"))
+    special = often.join(F.broadcast(seen.sparkSession.createDataFrame(list(SHORT_FORMS.items()), "token string, word string")), "word").select("word", "token")
     short = foreign.join(begins.unionByName(special), "token").select("token", "word", F.lit(1 - EDIT_COST).alias("sim"))
     return same.unionByName(near).unionByName(short).groupBy("token", "word").agg(F.max("sim").alias("sim"))
 
@@ -171,9 +190,10 @@ def map_values(values: DataFrame, value: str, reference: DataFrame, entry: str,
 
     distinct = cut(values.select(F.col(f"`{value}`").alias("value")).filter("value is not null").distinct().withColumn("t", _tokens("value")))
     each = distinct.select("value", F.explode(F.array_distinct("t")).alias("token"))
-    fixes = cut(repair_tokens(each.select("token").distinct(), vocabulary))
+    fixes = cut(repair_tokens(each.select("token").distinct(), vocabulary, max(COMMON_LEAST, math.ceil(COMMON_SHARE * n))))
     repaired = cut(each.join(fixes, "token").groupBy("value", "word").agg(F.max("sim").alias("sim")))
-    candidates = repaired.join(entries.select(F.explode("keys").alias("word"), "id"), "word").select("value", "id").distinct()
+    keys = entries.select(F.explode("keys").alias("word"), "id")
+    candidates = join_spread(repaired, "value", keys, "word").select("value", "id").distinct()
     found = candidates.join(repaired.groupBy("value").agg(F.map_from_entries(F.collect_list(F.struct("word", "sim"))).alias("sims")), "value")
     found = found.join(distinct.select("value", numbers(F.col("t")).alias("said")), "value").join(entries, "id")
     got = F.aggregate("ws", F.lit(0.0), lambda s, x: s + x["w"] * F.coalesce(F.try_element_at("sims", x["word"]), F.lit(0.0)))

@@ -49,12 +49,19 @@ def test_distance(a, b, d):
     assert E.distance(a, b, 2) == min(d, 3)
 
 
-def test_shortened_forms_lose_no_pair():
+def test_near_words_against_all_pairs(spark):
     r = random.Random(1)
-    words = ["".join(r.choice("abc") for _ in range(r.randint(3, 9))) for _ in range(120)]
-    for a, b in itertools.combinations(words, 2):
-        if E.distance(a, b, 2) <= 2:
-            assert set(E.shortened(a, 2)) & set(E.shortened(b, 2))
+    words = sorted({"".join(r.choice("abcd") for _ in range(r.randint(3, 11))) for _ in range(160)})
+    seen = sorted({w[:i] + w[i + 1 :] + r.choice(["", "a", "bd"]) for w in words for i in (1, 3)} | {w[1] + w[0] + w[2:-2] + w[-1] + w[-2] for w in words} | {"", "ab"})
+    got = {(x.token, x.word): x.d for x in E.near_words(spark.createDataFrame([(w,) for w in seen], "token string"), spark.createDataFrame([(w,) for w in words], "word string")).collect()}
+    most = lambda a, b: E.edits_allowed(max(a, b, key=len))
+    want = {(a, b): d for a in seen for b in words if len(a) > 3 and most(a, b) and (d := E.distance(a, b, 2)) <= most(a, b)}
+    assert got == want and len(want) > 300
+
+
+def test_a_word_of_a_third_of_all_values(spark):
+    df = spark.range(900).select("id", F.when(F.col("id") % 3 == 0, F.concat(F.lit("Thozaquegun syndrome type 1 x"), "id")).otherwise(F.concat(F.lit("v"), "id")).alias("texto"))
+    assert E.map_elements(df, "texto", catalog(spark), "concept_id", "texto", "aliases").filter("concept = 'C1'").count() == 300
 
 
 def test_tokens():
