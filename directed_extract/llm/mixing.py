@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from directed_extract.session import cut
+
 #: Rows of a block, on average. Only the one block of a source that its budget ends in is looked at row by row.
 BLOCK_ROWS = 2_000
 #: Targets that the driver plans for, at most.
 MAX_SOURCES = 10_000
+#: Blocks that one task orders, on average.
+PART_BLOCKS = 50_000
+#: Relative entropy, in nats, by which the planned weights may differ from the targets.
+CLOSE = 1e-9
 
 
 def source_key(c: Column) -> Column:
@@ -51,9 +58,14 @@ def exponent_for_entropy(shares: dict[str, float], target: float, steps: int = 2
     return (low + high) / 2
 
 
+def relative_entropy(p: dict[str, float], q: dict[str, float]) -> float:
+    """Of ``p`` to ``q``, in nats; both over the same names."""
+    return sum(x * math.log(x / q[s]) for s, x in p.items() if x > 0)
+
+
 @dataclass(frozen=True)
 class Plan:
-    """Weights and budgets in tokens of each source; ``exponent`` 1 means that the targets are met exactly."""
+    """Weights and budgets in tokens of each source; at an ``exponent`` of 1 the weights are the targets."""
 
     exponent: float
     total: float
@@ -61,39 +73,45 @@ class Plan:
     budgets: dict[str, int]
 
 
-def plan_mix(tokens: dict[str, int], targets: dict[str, float], repeats: dict[str, int], total: float | None = None, steps: int = 200) -> Plan:
+def plan_mix(tokens: dict[str, int], targets: dict[str, float], repeats: dict[str, int], total: float | None = None, steps: int = 200, close: float = CLOSE) -> Plan:
     """How much of each source to take.
 
-    The weights are the natural token shares, each times (target / natural share) to a power: at 1 they are the targets,
-    at 0 the natural shares. Without a ``total`` the power is 1 and the total is the greatest at which no source is
-    repeated beyond its limit. With a total that is too much for the targets, the power is the greatest within the limits,
-    by bisection; if even natural shares need more repeats, so does the total: it is cut down. Sources without tokens or
-    target have no weight; the others' targets are scaled up to 1 together.
+    The weights are the natural token shares, each times (target / natural share) to an exponent, normalised: at 0 the
+    natural shares, at 1 the targets. The exponent is found by bisection. Without a ``total`` it is the least at which the
+    entropy of the targets relative to the weights is at most ``close``, and the total is the greatest at which no source
+    is repeated beyond its limit. With a total it is that one, unless the limits do not allow so much: then it is the
+    greatest exponent within the limits, and if even natural shares need more repeats, the total is cut down. Sources
+    without tokens or target have no weight; the others' targets are scaled up to 1 together.
     """
     live = [s for s in targets if tokens.get(s, 0) > 0 and targets[s] > 0 and repeats.get(s, 1) > 0]
     if not live:
         return Plan(1.0, 0.0, dict.fromkeys(targets, 0.0), dict.fromkeys(targets, 0))
     natural_sum, target_sum = sum(tokens[s] for s in live), sum(targets[s] for s in live)
     natural = {s: tokens[s] / natural_sum for s in live}
-    tilt = {s: targets[s] / target_sum / natural[s] for s in live}
+    aim = {s: targets[s] / target_sum for s in live}
 
     def weights(power: float) -> dict[str, float]:
-        raw = {s: natural[s] * tilt[s] ** power for s in live}
+        raw = {s: natural[s] * (aim[s] / natural[s]) ** power for s in live}
         z = sum(raw.values())
         return {s: w / z for s, w in raw.items()}
 
     def most(w: dict[str, float]) -> float:
         return min(tokens[s] * repeats.get(s, 1) / w[s] for s in live)
 
-    power = 1.0
-    if total is None:
-        total = most(weights(1.0))
-    elif most(weights(1.0)) < total:
+    def edge(low_side: Callable[[float], bool]) -> tuple[float, float]:
+        """The exponents between which ``low_side`` turns from true to false."""
         low, high = 0.0, 1.0
         for _ in range(steps):
             middle = (low + high) / 2
-            low, high = (middle, high) if most(weights(middle)) >= total else (low, middle)
-        power = low
+            low, high = (middle, high) if low_side(middle) else (low, middle)
+        return low, high
+
+    near = relative_entropy(aim, natural) <= close
+    power = 0.0 if near else edge(lambda p: relative_entropy(aim, weights(p)) > close)[1]
+    if total is None:
+        total = most(weights(power))
+    elif most(weights(power)) < total:
+        power = edge(lambda p: most(weights(p)) >= total)[0]
         total = min(total, most(weights(power)))
     w = weights(power)
     budgets = {s: min(int(w[s] * total + 1e-6), tokens[s] * repeats.get(s, 1)) for s in live}
@@ -107,6 +125,22 @@ def _limits(targets: DataFrame) -> tuple[dict[str, float], dict[str, int]]:
     return {r.s: float(r.t or 0) for r in rows}, {r.s: int(r.r or 0) for r in rows}
 
 
+def shuffled(blocks: DataFrame, group: str, size: str, most: int, seed: int, part_blocks: int = PART_BLOCKS) -> DataFrame:
+    """``blocks`` with ``before``: the summed ``size`` of those that come before it in a random order of its group.
+
+    The order is that of a hash. A group, of at most ``most`` blocks, is cut into ranges of the hash; only these are
+    ordered, and their sums, one row a range, give the offsets. No task orders more than about ``part_blocks`` blocks.
+    """
+    parts = max(1, -(-most // part_blocks))
+    order = F.xxhash64(group, "block", "passes", F.lit(seed))
+    placed = blocks.withColumn("_order", order).withColumn("_range", F.least(F.floor((F.col("_order") / F.lit(2.0**64) + 0.5) * parts), F.lit(parts - 1)).cast("int"))
+    earlier = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy(group, "_range").agg(F.sum(size).alias("_sum")).withColumn("_offset", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
+    inside = Window.partitionBy(group, "_range").orderBy("_order", "block").rowsBetween(Window.unboundedPreceding, -1)
+    got = placed.withColumn("_inside", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(offsets, [group, "_range"])
+    return got.withColumn("before", F.col("_inside") + F.col("_offset")).drop("_order", "_range", "_inside", "_offset")
+
+
 def mix(docs: DataFrame, key: str, source: str, size: str, targets: DataFrame, total: float | None = None, seed: int = 0, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
     """A blend of the sources, and a report.
 
@@ -117,7 +151,7 @@ def mix(docs: DataFrame, key: str, source: str, size: str, targets: DataFrame, t
     interleaved.
 
     The report has a row for each target: ``(source, target_share, planned_share, tokens_available, tokens_used,
-    actual_share, passes, max_uses)``. A source without documents gets nothing, and the report shows it.
+    actual_share, passes, max_uses, exponent)``. A source without documents gets nothing, and the report shows it.
 
     Documents of other sources, without one, or of size 0 are left out. ``docs`` is read three times and should be a
     written table; ``key`` must be unique. The driver sees sums by source and block sums; a source that holds most rows is
@@ -142,8 +176,7 @@ def mix(docs: DataFrame, key: str, source: str, size: str, targets: DataFrame, t
     full = placed.filter("passes > 0").withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("passes"))))
     full = full.select("id", "source", "tokens", "pass", "block")
     blocks = placed.filter("rest > 0").groupBy("source", "block", "passes", "rest").agg(F.sum("tokens").alias("t"))
-    shuffled = Window.partitionBy("source").orderBy(F.xxhash64("source", "block", "passes", F.lit(seed)), "block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("before", F.coalesce(F.sum("t").over(shuffled), F.lit(0))).filter("before < rest")
+    blocks = cut(shuffled(blocks, "source", "t", max(n for _, n, *_ in table) if table else 1, seed)).filter("before < rest")
     chosen = placed.join(blocks.select("source", "block", "t", "before"), ["source", "block"])
     inside = chosen.filter("before + t <= rest").select("id", "source", "tokens", (F.col("passes") + 1).alias("pass"), "block")
     last = chosen.filter("before + t > rest").select("id", "source", "tokens", (F.col("passes") + 1).alias("pass"), "block", "most", (F.col("rest") - F.col("before")).alias("room"))
@@ -171,7 +204,7 @@ def mix(docs: DataFrame, key: str, source: str, size: str, targets: DataFrame, t
     report = joined.select(
         "source", "target_share", "planned_share", F.col("available").alias("tokens_available"), F.coalesce("used", F.lit(0)).alias("tokens_used"),
         F.coalesce(F.try_divide("used", "whole"), F.lit(0.0)).alias("actual_share"),
-        F.coalesce(F.try_divide("used", "available"), F.lit(0.0)).alias("passes"), F.coalesce("uses", F.lit(0)).alias("max_uses"),
+        F.coalesce(F.try_divide("used", "available"), F.lit(0.0)).alias("passes"), F.coalesce("uses", F.lit(0)).alias("max_uses"), F.lit(plan.exponent).alias("exponent"),
     )
     return blend, report
 

@@ -138,83 +138,127 @@ def best_fit(small: dict[int, int], free: dict[int, int], capacity: int) -> tupl
     return out, new
 
 
-def _looked_up(table: pd.DataFrame, group: str):
-    """A column function from (group, rank) to ``(kind, place)`` by the last row of ``table`` that begins before it."""
-    order = table.sort_values([group, "at"])
-    keys = order[group].to_numpy(np.int64) * (1 << 44) + order["at"].to_numpy(np.int64)
-    kinds, firsts, each, ats = (order[c].to_numpy(np.int64) for c in ("kind", "first", "each", "at"))
+#: Bits of a position within a size or group.
+_RANK_BITS = 38
+
+
+def _pair(spec: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return spec.astype(np.int64) * (1 << 40) + size.astype(np.int64)
+
+
+def _group_of(rows: list[tuple[int, int, int]]):
+    """A column function from (spec, size) to the group of ``(spec, size, group)``."""
+    a = np.array(sorted(rows), dtype=np.int64).reshape(-1, 3)
+    pairs, groups = _pair(a[:, 0], a[:, 1]), a[:, 2]
+
+    @F.pandas_udf("bigint")
+    def group(spec: pd.Series, size: pd.Series) -> pd.Series:
+        return pd.Series(groups[np.searchsorted(pairs, _pair(spec.to_numpy(), size.to_numpy()))])
+
+    return group
+
+
+def _place_of(rows: list[tuple[int, int, int, int, int, int]]):
+    """A column function from (spec, group, rank) to ``(kind, place)``, by the last of the rows ``(spec, group, first rank,
+    kind, first place, items in each)`` that begins before it."""
+    a = np.array(sorted(rows), dtype=np.int64).reshape(-1, 6)
+    pairs = _pair(a[:, 0], a[:, 1])
+    distinct, index = np.unique(pairs, return_inverse=True)
+    if len(distinct) >= 1 << (62 - _RANK_BITS) or (len(a) and a[:, 2].max() >= 1 << _RANK_BITS):
+        raise ValueError("too many sizes or items for one task of packing")
+    keys = (index.astype(np.int64) << _RANK_BITS) + a[:, 2]
 
     @F.pandas_udf("struct<kind:bigint,place:bigint>")
-    def find(groups: pd.Series, ranks: pd.Series) -> pd.DataFrame:
-        i = np.searchsorted(keys, groups.to_numpy(np.int64) * (1 << 44) + ranks.to_numpy(np.int64), side="right") - 1
-        return pd.DataFrame({"kind": kinds[i], "place": firsts[i] + (ranks.to_numpy(np.int64) - ats[i]) // each[i]})
+    def find(spec: pd.Series, group: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        ranks = rank.to_numpy(np.int64)
+        at = np.searchsorted(distinct, _pair(spec.to_numpy(), group.to_numpy()))
+        i = np.searchsorted(keys, (at.astype(np.int64) << _RANK_BITS) + ranks, side="right") - 1
+        return pd.DataFrame({"kind": a[i, 3], "place": a[i, 4] + (ranks - a[i, 2]) // a[i, 5]})
 
     return find
 
 
 def pack(sizes: DataFrame, key: str, size: str, capacity: int, groups: int = GROUPS) -> DataFrame:
-    """``(<key>, part, from_pos, tokens, container)``: every item placed whole in a container of ``capacity``.
+    """:func:`pack_all` for one capacity: ``(<key>, part, from_pos, tokens, container)``."""
+    return pack_all(sizes, key, size, {0: capacity}, groups).drop("spec")
+
+
+def pack_all(sizes: DataFrame, key: str, size: str, capacities: dict[int, int], groups: int = GROUPS) -> DataFrame:
+    """``(spec, <key>, part, from_pos, tokens, container)``: every item placed whole in a container, for each of the
+    ``capacities`` by spec; all of them in one pass.
 
     An item above the capacity is divided: its first parts fill containers of their own, what remains is an item. Items of
     size 0 or NULL lie in one container together, named ``empty``. ``key`` must be unique and not NULL.
 
-    The driver only sees counts by size and by free space, at most ``capacity`` rows each, and decides with them; rows find
-    their place by their position within their size. Nothing is gathered: positions are worked out in parts (see
-    ``ranking.rank_within``), and the work is linear in the number of items.
+    The driver only sees counts by size and by free space, at most one row for each capacity and size up to it, and
+    decides with them; rows find their place by their position within their size. Nothing is gathered: positions are
+    worked out in parts (see ``ranking.rank_within``), and the work is linear in the number of items.
     """
+    specs = sorted(capacities)
+    if not specs:
+        kind = sizes.schema[key].dataType.simpleString()
+        return sizes.sparkSession.createDataFrame([], f"spec int, `{key}` {kind}, part int, from_pos bigint, tokens bigint, container string")
     base = sizes.select(F.col(key).alias("id"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("n"))
-    fulls = base.filter(F.col("n") > capacity).withColumn("part", F.explode(F.sequence(F.lit(0), F.expr(f"cast(n div {capacity} as int)") - 1)))
-    fulls = fulls.select("id", F.col("part").cast("int"), (F.col("part") * capacity).cast("bigint").alias("from_pos"), F.lit(capacity).cast("bigint").alias("tokens"), F.concat_ws("-", F.lit("full"), "id", "part").alias("container"))
-    whole = F.when(F.col("n") > capacity, F.expr(f"n div {capacity}")).otherwise(0)
-    items = base.select("id", whole.cast("int").alias("part"), (whole * capacity).cast("bigint").alias("from_pos"), (F.col("n") - whole * capacity).cast("bigint").alias("tokens"))
+    tasks = F.array(*[F.struct(F.lit(int(s)).alias("spec"), F.lit(i).alias("ix"), F.lit(int(capacities[s])).cast("bigint").alias("c")) for i, s in enumerate(specs)])
+    base = base.withColumn("x", F.explode(tasks)).select("x.spec", "x.ix", "x.c", "id", "n")
+    whole = F.when(F.col("n") > F.col("c"), F.expr("n div c")).otherwise(0)
+    out_columns = ["spec", "id", "part", "from_pos", "tokens", "container"]
+    fulls = base.filter("n > c").withColumn("part", F.explode(F.sequence(F.lit(0), F.expr("cast(n div c as int)") - 1)))
+    fulls = fulls.withColumn("from_pos", (F.col("part") * F.col("c")).cast("bigint")).withColumn("tokens", F.col("c")).withColumn("container", F.concat_ws("-", F.lit("full"), "id", "part")).select(*out_columns)
+    items = base.select("spec", "ix", "c", "id", whole.cast("int").alias("part"), (whole * F.col("c")).cast("bigint").alias("from_pos"), (F.col("n") - whole * F.col("c")).cast("bigint").alias("tokens"))
     items = items.filter((F.col("tokens") > 0) | (F.col("part") == 0))
-    none = items.filter("tokens = 0").withColumn("container", F.lit("empty"))
+    none = items.filter("tokens = 0").withColumn("container", F.lit("empty")).select(*out_columns)
     items = items.filter("tokens > 0")
-    histogram = {r.tokens: r.n for r in items.groupBy("tokens").agg(F.count("*").alias("n")).collect()}
-    large = {s: n for s, n in histogram.items() if s * LARGE > capacity}
-    small = {s: n for s, n in histogram.items() if s * LARGE <= capacity}
+    histogram: dict[int, dict[int, int]] = defaultdict(dict)
+    for r in items.groupBy("ix", "tokens").agg(F.count("*").alias("n")).collect():
+        histogram[r.ix][r.tokens] = r.n
     out = fulls.unionByName(none)
+    large = {ix: {s: n for s, n in h.items() if s * LARGE > capacities[specs[ix]]} for ix, h in histogram.items()}
+    small = {ix: {s: n for s, n in h.items() if s * LARGE <= capacities[specs[ix]]} for ix, h in histogram.items()}
 
-    grouped = group_sizes(large, groups)
-    plan = configurations([g[0] for g in grouped], [g[2] for g in grouped], capacity)
-    starts = list(itertools.accumulate((n for _, n in plan), initial=0))
-    slots = []
-    for g in range(len(grouped)):
-        at = 0
-        for (counts, n), first in zip(plan, starts, strict=False):
-            if counts[g] and n:
-                slots.append((g, at, first, counts[g], 0))
-                at += counts[g] * n
-    free: dict[int, int] = {}
+    size_groups, slots = [], []
+    for ix, of_size in sorted(large.items()):
+        grouped = group_sizes(of_size, groups)
+        plan = configurations([g[0] for g in grouped], [g[2] for g in grouped], capacities[specs[ix]])
+        starts = list(itertools.accumulate((n for _, n in plan), initial=0))
+        size_groups += [(ix, s, g) for g, (_, ss, _) in enumerate(grouped) for s in ss]
+        for g in range(len(grouped)):
+            at = 0
+            for (counts, n), first in zip(plan, starts, strict=False):
+                if counts[g] and n:
+                    slots.append((ix, g, at, 0, first, counts[g]))
+                    at += counts[g] * n
+    free: dict[int, dict[int, int]] = defaultdict(dict)
     bins = None
-    if large:
-        of_size = F.create_map(*itertools.chain.from_iterable((F.lit(int(s)), F.lit(g)) for g, (_, ss, _) in enumerate(grouped) for s in ss))
-        big = items.filter(F.col("tokens") * LARGE > capacity).withColumn("g", of_size[F.col("tokens").cast("int")])
-        big = rank_within(big, "g", "id", sum(large.values()))
-        find = _looked_up(pd.DataFrame(slots, columns=["g", "at", "first", "each", "kind"]), "g")
-        big = cut(big.withColumn("bin", find("g", "rank")["place"]).select("id", "part", "from_pos", "tokens", "bin"))
-        bins = cut(big.groupBy("bin").agg((F.lit(capacity) - F.sum("tokens")).cast("bigint").alias("free")))
-        free = {r.free: r.n for r in bins.groupBy("free").agg(F.count("*").alias("n")).collect()}
-        out = out.unionByName(big.select("id", "part", "from_pos", "tokens", F.concat_ws("-", F.lit("mixed"), "bin").alias("container")))
-    if small:
-        placed, _ = best_fit(small, free, capacity)
-        tiny = rank_within(items.filter(F.col("tokens") * LARGE <= capacity), "tokens", "id", sum(small.values()))
-        find = _looked_up(pd.DataFrame(placed, columns=["s", "at", "kind", "first", "each"]), "s")
-        tiny = tiny.withColumn("to", find("tokens", "rank")).select("id", "part", "from_pos", "tokens", F.col("to.kind").alias("free"), F.col("to.place").alias("rank"))
-        fresh = tiny.filter("free = -1").select("id", "part", "from_pos", "tokens", F.concat_ws("-", F.lit("small"), "rank").alias("container"))
-        out = out.unionByName(fresh)
+    if slots:
+        big = items.filter(F.col("tokens") * LARGE > F.col("c")).withColumn("g", _group_of(size_groups)("ix", "tokens")).withColumn("gid", F.col("ix") * F.lit(1 << 32) + F.col("g"))
+        big = rank_within(big, "gid", "id", sum(sum(h.values()) for h in large.values()))
+        big = cut(big.withColumn("bin", _place_of(slots)("ix", "g", "rank")["place"]).select("spec", "ix", "c", "id", "part", "from_pos", "tokens", "bin"))
+        bins = cut(big.groupBy("ix", "c", "bin").agg(F.sum("tokens").alias("used")).select("ix", "bin", (F.col("c") - F.col("used")).cast("bigint").alias("free")))
+        for r in bins.groupBy("ix", "free").agg(F.count("*").alias("n")).collect():
+            free[r.ix][r.free] = r.n
+        out = out.unionByName(big.withColumn("container", F.concat_ws("-", F.lit("mixed"), "bin")).select(*out_columns))
+    placed = [(ix, s, at, kind, first, each) for ix, of_size in sorted(small.items()) if of_size for s, at, kind, first, each in best_fit(of_size, dict(free[ix]), capacities[specs[ix]])[0]]
+    if placed:
+        tiny = items.filter(F.col("tokens") * LARGE <= F.col("c")).withColumn("gid", F.col("ix") * F.lit(1 << 32) + F.col("tokens"))
+        tiny = rank_within(tiny, "gid", "id", sum(sum(h.values()) for h in small.values()))
+        tiny = tiny.withColumn("to", _place_of(placed)("ix", "tokens", "rank")).select("spec", "ix", "id", "part", "from_pos", "tokens", F.col("to.kind").alias("free"), F.col("to.place").alias("rank"))
+        out = out.unionByName(tiny.filter("free = -1").withColumn("container", F.concat_ws("-", F.lit("small"), "rank")).select(*out_columns))
         if bins is not None:
-            ranked = rank_within(bins.filter("free > 0"), "free", "bin", sum(free.values()))
-            filled = tiny.filter("free >= 0").join(ranked, ["free", "rank"])
-            out = out.unionByName(filled.select("id", "part", "from_pos", "tokens", F.concat_ws("-", F.lit("mixed"), "bin").alias("container")))
+            ranked = rank_within(bins.filter("free > 0").withColumn("gid", F.col("ix") * F.lit(1 << 32) + F.col("free")), "gid", "bin", sum(sum(h.values()) for h in free.values()))
+            filled = tiny.filter("free >= 0").join(ranked.select("ix", "free", "rank", "bin"), ["ix", "free", "rank"])
+            out = out.unionByName(filled.withColumn("container", F.concat_ws("-", F.lit("mixed"), "bin")).select(*out_columns))
     return out.withColumnRenamed("id", key)
 
 
-def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
-    """One row: items, containers (without the one of empty items), the least possible number, and the share filled."""
-    used = packed.filter("tokens > 0").groupBy("container").agg(F.sum("tokens").alias("t"), F.count("*").alias("k"))
-    total = used.agg(F.sum("k").alias("n_items"), F.count("*").alias("n_containers"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"))
-    return total.select(
-        F.coalesce("n_items", F.lit(0)).alias("n_items"), "n_containers", F.ceil(F.col("tokens") / capacity).alias("least_containers"), F.coalesce("tokens", F.lit(0)).alias("tokens"), "fullest",
-        F.try_divide(F.col("tokens"), F.col("n_containers") * F.lit(capacity)).alias("filled"),
+def fill_report(packed: DataFrame, capacities: dict[int, int]) -> DataFrame:
+    """One row for each spec: items, containers (without the one of empty items), the least possible number, and the share
+    filled. Specs without items have zeros."""
+    used = packed.filter("tokens > 0").groupBy("spec", "container").agg(F.sum("tokens").alias("t"), F.count("*").alias("k"))
+    total = used.groupBy("spec").agg(F.sum("k").alias("n_items"), F.count("*").alias("n_containers"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"))
+    every = packed.sparkSession.createDataFrame(sorted(capacities.items()), "spec int, capacity int")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+    return every.join(total, "spec", "left").select(
+        "spec", "capacity", zero("n_items"), zero("n_containers"), F.coalesce(F.ceil(F.col("tokens") / F.col("capacity")), F.lit(0)).alias("least_containers"), zero("tokens"), zero("fullest"),
+        F.try_divide(F.col("tokens"), F.col("n_containers") * F.col("capacity")).alias("filled"),
     )

@@ -7,9 +7,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType
 
 from directed_extract.llm import pii_labels
 from directed_extract.session import cut
@@ -184,22 +184,18 @@ def _settle(spans: list[dict]) -> list[tuple]:
 def redact(df: DataFrame, key: str, text: str, spans: DataFrame) -> DataFrame:
     """``(<key>, text, n_redacted)``: each span replaced by its type in square brackets, every other character unchanged.
 
-    Texts without a span come out as they are, NULL stays NULL.
+    Texts without a span come out as they are, NULL stays NULL. Texts are read once.
     """
     by_row = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("s", "e", "pii_type"))).alias("spans"))
+    rows = df.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("text")).join(by_row, key, "left")
+    # what stands between the end of each span and the beginning of the next; the spans' types come in between
+    edge = F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit(None).cast("string").alias("pii_type"))
+    from_here = F.concat(F.array(edge), F.col("spans"))
 
-    @F.pandas_udf(StringType())
-    def replaced(texts: pd.Series, groups: pd.Series) -> pd.Series:
-        out = []
-        for t, g in zip(texts, groups, strict=True):
-            parts, at = [], 0
-            for x in g:
-                parts += [t[at : x["s"]], f"[{x['pii_type'].upper()}]"]
-                at = x["e"]
-            out.append("".join([*parts, t[at:]]))
-        return pd.Series(out)
+    def piece(x: Column, i: Column) -> Column:
+        ends = F.coalesce(F.try_element_at("spans", i + 1)["s"], F.char_length("text"))
+        label = F.when(x["pii_type"].isNull(), "").otherwise(F.concat(F.lit("["), F.upper(x["pii_type"]), F.lit("]")))
+        return F.concat(label, F.substring(F.col("text"), x["e"] + 1, ends - x["e"]))
 
-    rows = df.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("text")).join(by_row, key, "left")
-    clean = rows.filter("spans is null").select(key, "text", F.lit(0).alias("n_redacted"))
-    changed = rows.filter("spans is not null").select(key, replaced("text", "spans").alias("text"), F.size("spans").alias("n_redacted"))
-    return clean.unionByName(changed)
+    changed = F.array_join(F.transform(from_here, piece), "")
+    return rows.select(key, F.when(F.col("spans").isNull(), F.col("text")).otherwise(changed).alias("text"), F.coalesce(F.size("spans"), F.lit(0)).alias("n_redacted"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +12,8 @@ from directed_extract.llm import canonical, entity_map, ledger, mixing, packing,
 from directed_extract.session import cut, ensure_checkpoint_dir
 
 
-#: Capacities that are packed for, at most; more are refused.
-MOST_SPECS = 1000
+#: Capacities that are packed for in one pass.
+PASS_SPECS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,8 +51,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus texts with placeholders."""
-    spans = cut(_spans(spark, sf_dir))
-    return pii.redact(table(spark, sf_dir, "corpus_docs"), "line_id", "texto", spans)
+    return pii.redact(table(spark, sf_dir, "corpus_docs"), "line_id", "texto", _spans(spark, sf_dir))
 
 
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,35 +89,30 @@ def p6_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.read().select(F.col("first_id").alias("keep_id"), F.col("n").alias("n_copies")).join(first, "keep_id")
 
 
-def _packed(spark: SparkSession, sf_dir: str) -> list[tuple[int, int, DataFrame]]:
-    specs = table(spark, sf_dir, "pack_specs").filter("capacity_tokens > 0").orderBy("spec_id").limit(MOST_SPECS + 1).collect()
-    if len(specs) > MOST_SPECS:
-        raise ValueError(f"more than {MOST_SPECS} rows in pack_specs")
+def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[int, int]]:
+    """The packing for every row of pack_specs, a table of settings; each pass over the documents serves many rows."""
+    specs = table(spark, sf_dir, "pack_specs").filter("capacity_tokens > 0").orderBy("spec_id").collect()
     tokens = cut(sizes.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"))
-    return [(r.spec_id, r.capacity_tokens, packing.pack(tokens, "doc_id", "tokens", r.capacity_tokens)) for r in specs]
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    passes = [{r.spec_id: r.capacity_tokens for r in specs[i : i + PASS_SPECS]} for i in range(0, max(1, len(specs)), PASS_SPECS)]
+    return reduce(DataFrame.unionByName, [packing.pack_all(tokens, "doc_id", "tokens", p) for p in passes]), {r.spec_id: r.capacity_tokens for r in specs}
 
 
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in its container, for each capacity of pack_specs."""
-    return _union([d.select(F.lit(i).alias("spec_id"), "*") for i, _, d in _packed(spark, sf_dir)])
+    return _packed(spark, sf_dir)[0].withColumnRenamed("spec", "spec_id")
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well the containers of each capacity are filled."""
-    return _union([packing.fill_report(d, c).select(F.lit(i).alias("spec_id"), F.lit(c).alias("capacity_tokens"), "*") for i, c, d in _packed(spark, sf_dir)])
+    return packing.fill_report(*_packed(spark, sf_dir)).withColumnRenamed("spec", "spec_id").withColumnRenamed("capacity", "capacity_tokens")
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(sizes.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", keep=("source",)))
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents")
-    tokens = sizes.token_counts(docs, "doc_id", "text")
-    return mixing.mix(cut(docs.select("doc_id", "source").join(tokens, "doc_id")), "doc_id", "source", "tokens", table(spark, sf_dir, "mix_targets"))
+    return mixing.mix(_sized(spark, sf_dir), "doc_id", "source", "tokens", table(spark, sf_dir, "mix_targets"))
 
 
 def p8_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,9 +127,7 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Natural shares, and those tempered to the entropy of the targets."""
-    docs = table(spark, sf_dir, "documents")
-    tokens = docs.select("doc_id", "source").join(sizes.token_counts(docs, "doc_id", "text"), "doc_id")
-    return mixing.temperature_report(tokens, "source", "tokens", table(spark, sf_dir, "mix_targets"))
+    return mixing.temperature_report(_sized(spark, sf_dir), "source", "tokens", table(spark, sf_dir, "mix_targets"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,16 +23,17 @@ def encoder(path: str, words: str = WORDS):
     return tiktoken.Encoding("documents", pat_str=words, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(df: DataFrame, key: str, text: str, path: str = TOKENIZER, words: str = WORDS) -> DataFrame:
-    """``(<key>, tokens)`` of every text; NULL and empty texts have none. ``path`` must be readable by every worker.
+def token_counts(df: DataFrame, key: str, text: str, path: str = TOKENIZER, words: str = WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(<key>, <keep>, tokens)`` of every text; NULL and empty texts have none. ``path`` must be readable by every worker.
 
     Strings that look like special tokens are ordinary text. A worker loads the vocabulary once for each task.
     """
-    kind = df.schema[key].dataType.simpleString()
+    named = [key, *keep]
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in named) + ", tokens bigint"
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = encoder(path, words)
         for b in batches:
-            yield pd.DataFrame({key: b["id"], "tokens": [len(e.encode_ordinary(t)) if t else 0 for t in b["text"]]})
+            yield b[named].assign(tokens=[len(e.encode_ordinary(t)) if t else 0 for t in b["_text"]])
 
-    return df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInPandas(count, f"`{key}` {kind}, tokens bigint")
+    return df.select(*[F.col(f"`{c}`") for c in named], F.col(f"`{text}`").alias("_text")).mapInPandas(count, schema)

@@ -15,6 +15,11 @@ ABBREVIATIONS = (
     "n no nº núm núms p p.ej p. pp pág págs prof ref refs resp s sec sr sra srta sres st t tab tel tfno vol vs z.b zb"
 ).split()
 
+#: Rows of a table of limits that go to every worker, at most.
+BROADCAST_LIMITS = 10_000
+#: Tasks that the texts of one group are spread over where the limits are joined by shuffle.
+SPREAD = 64
+
 _STOP = re.compile(r"[.!?…]+[\"'»”’)\]]*\s+(?=[\"'«“‘(\[¿¡]*[A-ZÀ-ÖØ-ÞΑ-ΩА-Я0-9•*\-])")
 _LAST_WORD = re.compile(r"([^\s(\[«“\"]+)[.]$")
 
@@ -106,16 +111,22 @@ def split_oversized(df: DataFrame, key: str, text: str, limits: DataFrame, group
     whole as its only piece; NULL gives no piece; without any row for it, a text has no limit.
 
     Short texts stay in the JVM; only those above their limit pass through Python, batch by batch, each on its own: no
-    shuffle at all. ``limits`` is broadcast if it has at most 10,000 rows, and joined by shuffle otherwise. Other columns
-    of ``df`` play no part.
+    shuffle at all. ``limits`` is broadcast if it has at most :data:`BROADCAST_LIMITS` rows. A longer one meets the texts
+    by shuffle, where a group that a third of the texts share is spread over ``SPREAD`` tasks; texts without a group take
+    the default without moving. Other columns of ``df`` play no part.
     """
-    small = limits.limit(10_001).count() <= 10_000
+    small = limits.limit(BROADCAST_LIMITS + 1).count() <= BROADCAST_LIMITS
     rules = limits.groupBy(F.col(f"`{group}`").alias("g")).agg(F.min("max_chars").alias("max_chars"), F.max("overlap_chars").alias("overlap_chars"))
     otherwise = rules.filter(F.col("g") == default).select(F.col("max_chars").alias("m"), F.col("overlap_chars").alias("o"))
     fallback = otherwise.first()
     m, o = (fallback.m, fallback.o) if fallback else (None, None)
     rows = df.filter(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("piece"), F.col(f"`{group}`").alias("g"))
-    rows = rows.join(F.broadcast(rules) if small else rules, "g", "left")
+    if small:
+        rows = rows.join(F.broadcast(rules), "g", "left")
+    else:
+        spread = rows.filter("g is not null").withColumn("p", F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int"))
+        each = rules.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+        rows = spread.join(each.hint("shuffle_hash"), ["g", "p"], "left").drop("p").unionByName(rows.filter("g is null"), allowMissingColumns=True)
     rows = rows.select(
         "id", "piece", F.coalesce("max_chars", F.lit(m).cast("int")).alias("m"), F.coalesce("overlap_chars", F.lit(o).cast("int"), F.lit(0)).alias("o"), F.char_length("piece").alias("n")
     )

@@ -60,7 +60,7 @@ def test_near_words_against_all_pairs(spark):
 
 
 def test_a_word_of_a_third_of_all_values(spark):
-    df = spark.range(900).select("id", F.when(F.col("id") % 3 == 0, F.concat(F.lit("Thozaquegun syndrome type 1 x"), "id")).otherwise(F.concat(F.lit("v"), "id")).alias("texto"))
+    df = spark.range(900).select("id", F.when(F.col("id") % 3 == 0, F.concat(F.lit("Thozaquegun syndrome type 1 x"), F.col("id") + 5000)).otherwise(F.concat(F.lit("v"), "id")).alias("texto"))
     assert E.map_elements(df, "texto", catalog(spark), "concept_id", "texto", "aliases").filter("concept = 'C1'").count() == 300
 
 

@@ -38,7 +38,7 @@ def test_little_space_left(spark):
     fill = packed(spark, large, 100)
     halves = sum(1 for n in large if n > 50)
     assert len(fill) <= 1.06 * max(halves, sum(large) / 100)
-    report = packing.fill_report(packing.pack(sized(spark, items), "doc_id", "tokens", 100), 100).first()
+    report = packing.fill_report(packing.pack_all(sized(spark, items), "doc_id", "tokens", {4: 100}), {4: 100}).first()
     assert report.fullest <= 100 and report.n_containers >= report.least_containers
 
 
@@ -91,7 +91,38 @@ def test_token_counts(spark):
     assert sizes.token_counts(df.filter(F.lit(False)), "doc_id", "text").count() == 0
 
 
-def test_more_specs_than_the_bound_are_refused(spark, tmp_path):
-    spark.range(1001).selectExpr("cast(id AS int) AS spec_id", "8 AS capacity_tokens").write.parquet(str(tmp_path / "pack_specs.parquet"))
-    with pytest.raises(ValueError, match="pack_specs"):
-        queries.p7_packed(spark, str(tmp_path))
+def test_many_specs_in_one_pass(spark, tmp_path):
+    spark.range(1001).selectExpr("cast(id AS int) AS spec_id", "cast(8 + id % 5 AS int) AS capacity_tokens").write.parquet(str(tmp_path / "pack_specs.parquet"))
+    spark.createDataFrame([(1, "a b c"), (2, "d e " * 20), (3, None), (4, "f")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.p7_packed(spark, str(tmp_path)).toPandas()
+    assert got.spec_id.nunique() == 1001 and (got.groupby("spec_id").doc_id.nunique() == 4).all()
+    fill = got.groupby(["spec_id", "container"]).tokens.sum().reset_index()
+    assert (fill.tokens <= 8 + fill.spec_id % 5).all()
+
+
+def test_capacities_do_not_mix(spark):
+    items = [5, 60, 30, 30, 90, 7, 7, 250, 0]
+    both = packing.pack_all(sized(spark, items), "doc_id", "tokens", {1: 100, 7: 64}).toPandas()
+    for spec, capacity in ((1, 100), (7, 64)):
+        mine = both[both.spec == spec]
+        assert mine.tokens.sum() == sum(items) and mine.groupby("container").tokens.sum().max() <= capacity
+        alone = packing.pack(sized(spark, items), "doc_id", "tokens", capacity).toPandas()
+        assert sorted(alone.groupby("container").tokens.sum()) == sorted(mine.groupby("container").tokens.sum())
+
+
+def test_exponent_is_bisected():
+    tokens, aim = {"a": 7000, "b": 2000, "c": 1000}, {"a": 0.2, "b": 0.5, "c": 0.3}
+    plan = mixing.plan_mix(tokens, aim, {"a": 1, "b": 2, "c": 9})
+    assert 0.999 < plan.exponent < 1 and plan.weights == pytest.approx(aim, abs=1e-4)
+    assert mixing.relative_entropy(aim, plan.weights) <= mixing.CLOSE < mixing.relative_entropy(aim, mixing.plan_mix(tokens, aim, {}, close=1e-3).weights)
+    tight = mixing.plan_mix(tokens, aim, {"a": 1, "b": 1, "c": 1}, total=8000.0)
+    assert 0 < tight.exponent < 1 and all(tight.budgets[s] <= tokens[s] for s in tokens) and max(tight.budgets[s] / tokens[s] for s in tokens) > 0.999
+    assert mixing.plan_mix({"a": 5, "b": 5}, {"a": 0.5, "b": 0.5}, {}).exponent == 0.0
+
+
+def test_blocks_of_one_source_in_parts(spark):
+    df = spark.range(5000).selectExpr("'s' AS source", "cast(id AS int) AS block", "1 AS passes", "cast(1 + id % 7 AS bigint) AS t")
+    for most in (100, 5000):
+        got = mixing.shuffled(df, "source", "t", 5000, 3, part_blocks=most).toPandas().sort_values("before")
+        assert (got.before.to_numpy()[1:] == got.t.cumsum().to_numpy()[:-1]).all() and got.before.iloc[0] == 0
+        assert list(got.block[:50]) != sorted(got.block[:50])
