@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from directed_extract.llm import pii_labels
+from directed_extract.operators.skew import join_lookup
 from directed_extract.session import cut
 
 #: Candidates the classifiers are trained on, at most, shared out among the types. Which ones depends on a hash of text and
 #: place, not on order.
 TRAIN_ROWS = 40_000
-#: Names of the gazetteer sent to every worker, at most; a longer list must be cut down by its owner first.
+#: Names of the gazetteer sent to every worker, at most; a longer list is joined to the words of the texts.
 MAX_NAMES = 500_000
 #: A candidate counts if the classifier gives it at least this probability.
 ACCEPT = 0.5
@@ -84,29 +85,43 @@ def train(features: list[np.ndarray], target: np.ndarray, size: int = pii_labels
     return w
 
 
-def gazetteer(lexicon: DataFrame, name: str, kind: str) -> dict[str, str]:
-    """Lower-case name to its kinds. Refuses a list of more than ``MAX_NAMES`` rows: it goes to every worker."""
-    rows = lexicon.select(F.lower(F.trim(F.col(name))).alias("n"), F.col(kind).alias("k")).filter("n <> ''").distinct().limit(MAX_NAMES + 1).collect()
-    if len(rows) > MAX_NAMES:
-        raise ValueError(f"more than {MAX_NAMES} names in the gazetteer")
+def gazetteer(lexicon: DataFrame, name: str, kind: str, most: int = MAX_NAMES) -> dict[str, str] | DataFrame:
+    """Lower-case name to its kinds. With more than ``most`` rows the names stay a table ``(n, k)``, which the words of the
+    texts are joined to, and do not go to every worker."""
+    names = lexicon.select(F.lower(F.trim(F.col(name))).alias("n"), F.col(kind).alias("k")).filter("n <> ''").distinct()
+    rows = names.limit(most + 1).collect()
+    if len(rows) > most:
+        return names.groupBy("n").agg(F.array_join(F.array_sort(F.collect_set("k")), " ").alias("k"))
     out: dict[str, str] = {}
     for r in rows:
         out[r.n] = " ".join(sorted({*out.get(r.n, "").split(), r.k or ""})).strip()
     return out
 
 
-def candidate_spans(df: DataFrame, key: str, text: str, known: dict[str, str]) -> DataFrame:
+def _with_names(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """``(id, text, names)``: the texts with the listed names among their own words, as a map to their kinds.
+
+    Distinct words travel, once for each text; a word of a third of the texts is one of few and is joined by broadcast.
+    """
+    rows = cut(texts)
+    words = cut(rows.select("id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{Nl}\p{No}]+"), F.lit(0)), F.lower))).alias("n")))
+    found = join_lookup(words, names, "n").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("n", "k"))).alias("names"))
+    return rows.join(found, "id", "left")
+
+
+def candidate_spans(df: DataFrame, key: str, text: str, known: dict[str, str] | DataFrame) -> DataFrame:
     """``(id, kind, s, e, votes, features)`` of every candidate span in every whole text; ends are exclusive."""
-    names = df.sparkSession.sparkContext.broadcast(known)
+    kind = df.schema[key].dataType.simpleString()
+    texts = df.filter(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    shared = df.sparkSession.sparkContext.broadcast(known if isinstance(known, dict) else {})
+    texts = texts.withColumn("names", F.lit(None).cast("map<string,string>")) if isinstance(known, dict) else _with_names(texts, known)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        listed = names.value
+        listed = shared.value
         for b in batches:
-            rows = [(i, c.kind, c.start, c.end, c.votes, c.features) for i, t in zip(b["id"], b["text"], strict=True) for c in pii_labels.candidates(t, listed)]
+            rows = [(i, c.kind, c.start, c.end, c.votes, c.features) for i, t, own in zip(b["id"], b["text"], b["names"], strict=True) for c in pii_labels.candidates(t, dict(own) if own else listed)]
             yield pd.DataFrame(rows, columns=["id", "kind", "s", "e", "votes", "features"])
 
-    kind = df.schema[key].dataType.simpleString()
-    texts = df.filter(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
     return texts.mapInPandas(scan, f"id {kind}, kind string, s int, e int, votes array<int>, features array<int>")
 
 
@@ -144,7 +159,7 @@ def fit(candidates: DataFrame, train_rows: int = TRAIN_ROWS) -> dict[str, np.nda
     return out
 
 
-def find_spans(df: DataFrame, key: str, text: str, known: dict[str, str], accept: float = ACCEPT) -> DataFrame:
+def find_spans(df: DataFrame, key: str, text: str, known: dict[str, str] | DataFrame, accept: float = ACCEPT) -> DataFrame:
     """``(<key>, pii_type, s, e, p)``: the spans of personal information in every text; 0-based, the end exclusive.
 
     Where accepted candidates overlap, the more probable one stays, then the longer, then the earlier. Texts that are NULL

@@ -100,3 +100,26 @@ def test_type_without_classifier_goes_by_its_votes(spark, monkeypatch):
 def test_name_of_more_than_three_words(name):
     text = f"Seen by Dr. {name} on the ward."
     assert [text[c.start : c.end] for c in candidates(text, KNOWN) if c.kind == "name"] == [name]
+
+
+@pytest.mark.parametrize(
+    "address",
+    ["12 Rue de la Paix, 75002 Paris", "Straße des 17. Juni 135, 10623 Berlin", "Hauptstr. 12, Berlin", "Via Roma 12, 00100 Roma", "Lange Allee 7 b, D-10623 Berlin", "Rua da Prata 80, 1100 Lisboa", "12B Upper Mill Lane, Flat 3, Larkmoor", "Postfach 12, 10623 Berlin"],
+)
+def test_addresses_of_several_countries(address):
+    text = f"She lives at {address}. " + "No change since then. " * 20
+    assert [(c.kind, text[c.start : c.end]) for c in candidates(text, KNOWN)] == [("address", address)]
+
+
+def test_address_of_very_long_names():
+    address = f"12 {'X' * 50}{'x' * 200} Street, Larkmoor"
+    text = "x" * 500 + f" at {address}, then."
+    assert [text[c.start : c.end] for c in candidates(text, KNOWN)] == [address]
+
+
+def test_more_names_than_go_to_a_worker(spark, found):
+    lexicon = spark.createDataFrame([(n.title(), k) for n, k in KNOWN.items()] + [(f"Other{i}", "given") for i in range(50)] + [("Kethorpe", "given"), (None, "given")], "name string, kind string")
+    assert pii.gazetteer(lexicon, "name", "kind")["kethorpe"] == "family given"
+    names = pii.gazetteer(lexicon.filter("not (name = 'Kethorpe' and kind = 'given')"), "name", "kind", most=10)
+    assert not isinstance(names, dict)
+    assert sorted(map(tuple, pii.find_spans(found[0], "line_id", "texto", names).select("line_id", "pii_type", "s", "e").collect())) == sorted(map(tuple, found[1].select("line_id", "pii_type", "s", "e").collect()))
