@@ -170,12 +170,16 @@ def find_spans(df: DataFrame, key: str, text: str, known: dict[str, str] | DataF
 
     @F.pandas_udf(DoubleType())
     def probability(kind: pd.Series, votes: pd.Series, features: pd.Series) -> pd.Series:
-        def one(model: np.ndarray | Reliability, v: np.ndarray, f: np.ndarray) -> float:
+        out = np.zeros(len(kind))
+        for k, places in kind.groupby(kind).indices.items():
+            model = models[k]
             if isinstance(model, Reliability):
-                return float(model.posterior(np.asarray(v)[None, :])[0])
-            return 1 / (1 + np.exp(-np.clip(model[np.asarray(f, dtype=int)].sum(), -30, 30)))
-
-        return pd.Series([one(models[k], v, f) for k, v, f in zip(kind, votes, features, strict=True)], dtype=float)
+                out[places] = model.posterior(np.stack(votes.iloc[places].to_list()))
+            else:  # every candidate has features
+                own = features.iloc[places].to_list()
+                first = np.cumsum([0, *map(len, own[:-1])])
+                out[places] = 1 / (1 + np.exp(-np.clip(np.add.reduceat(model[np.concatenate(own)], first), -30, 30)))
+        return pd.Series(out)
 
     scored = found.withColumn("p", probability("kind", "votes", "features")).filter(F.col("p") >= accept).select("id", "kind", "s", "e", "p")
 

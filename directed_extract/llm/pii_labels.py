@@ -98,6 +98,8 @@ _WORDS = re.compile(r"([^\W\d_]+)")
 _BEFORE_TITLE = re.compile(rf"(?<!\w)(?:{TITLES})\.? $")
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _NUMBER = re.compile(r"\d+")
+_DIGIT = re.compile(r"\d")
+_THREE = re.compile(r"\d{3}")
 _LABEL_BEFORE = re.compile(r"(?<!\w)[A-Z]{1,3}[ -]?$")
 _LETTER_AFTER = re.compile(r"-?[A-Z](?!\w)")
 _EXTENSION = re.compile(r",? ext")
@@ -167,11 +169,10 @@ def _emails(text: str) -> Iterator[tuple[int, int, list[int], str]]:
 
 def _phones(text: str) -> Iterator[tuple[int, int, list[int], str]]:
     for m in PHONE.finditer(text):
-        s, e = m.span()
         span = m[0]
-        digits = sum(c.isdigit() for c in span)
-        if not 7 <= digits <= 15:
+        if len(span) < 7 or not 7 <= len(_DIGIT.findall(span)) <= 15:
             continue
+        s, e = m.span()
         left = text[max(0, s - 34) : s]
         odd = _DATE.fullmatch(span) or _THOUSANDS.fullmatch(span)
         cue, label, other = CUES["phone"].search(left), CUES["identity"].search(left), _OTHER.search(left)
@@ -365,10 +366,10 @@ def candidates(text: str, known: Mapping[str, str]) -> list[Candidate]:
 
     words = Words(text)
     taken = add("email", _emails(text))
-    digits = len(re.findall(r"\d", text))
+    digits = len(_DIGIT.findall(text))
     if digits >= 7:  # the fewest of a phone number, in groups of any length
         add("phone", _phones(text))
-    if re.search(r"\d{3}", text):  # every form of identity has three in a row
+    if _THREE.search(text):  # every form of identity has three in a row
         add("identity", _identities(text))
     if digits:
         taken += add("address", _addresses(text, words))
