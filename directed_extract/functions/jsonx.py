@@ -42,7 +42,7 @@ def parse_object(raw: Column) -> Column:
 
 def kind(v: Column) -> Column:
     """``object``, ``array``, ``null`` or the scalar's SQL type in lower case; NULL for SQL NULL."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.schema_of_variant(v)), "(?s)<.*|[(].*", ""), "^void$", "null")
+    return F.regexp_replace(F.regexp_extract(F.lower(F.schema_of_variant(v)), "^[a-z_ ]+", 0), "^void$", "null")
 
 
 def unwrap_text(v: Column) -> Column:

@@ -269,11 +269,23 @@ def _settle(node: Node) -> None:
 
 
 def _opened(v: Column, node: Node) -> Column:
-    return jsonx.unwrap_text(v) if WRAPPED in node.kinds else v
+    """The value with text replaced by the list or object it holds. What has an item or a known field is no text, which is
+    cheaper to see than the kind of a large value."""
+    if WRAPPED not in node.kinds:
+        return v
+    inside = node.item if node.item is not None and not node.fields else node
+    steps = (["$[0]"] if node.item is not None else []) + [_step(name) for name in sorted(inside.fields)[:2]]
+    if not steps:
+        return jsonx.unwrap_text(v)
+    return jsonx.let(v, lambda x: F.when(F.coalesce(*[F.try_variant_get(x, step, "variant") for step in steps]).isNotNull(), x).otherwise(jsonx.unwrap_text(x)))
+
+
+def _step(name: str) -> str:
+    return "$['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']"
 
 
 def _get(v: Column, name: str, node: Node) -> Column:
-    return _opened(F.try_variant_get(v, "$['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']", "variant"), node)
+    return _opened(F.try_variant_get(v, _step(name), "variant"), node)
 
 
 def _scalar(v: Column, kinds: set[str]) -> Column:
@@ -374,7 +386,8 @@ def flatten(df: DataFrame, raw: str, key: str, structure: Node) -> Tables:
         scalars = node.real - {"object", "array"}
         value = _scalar(F.col("v"), scalars)
         if node.real & {"object", "array"}:
-            value = F.when(~jsonx.kind(F.col("v")).isin("object", "array"), value)
+            schema = F.schema_of_variant(F.col("v"))
+            value = F.when(~(schema.startswith("OBJECT") | schema.startswith("ARRAY")), value)
         return rows.select(
             F.col("id").alias(key), "parent_key", "parent_label", "row_key", "label", "pos", jsonx.kind(F.col("v")).alias("kind"),
             value.alias("value"),
