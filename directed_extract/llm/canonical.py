@@ -112,7 +112,7 @@ def canonical_form(text: str, fold: bool = False, glyphs: _Glyphs | None = None)
     """
     glyphs = _Glyphs() if glyphs is None else glyphs
     t = text.replace("\r\n", "\n").translate(glyphs)
-    if glyphs.mixed is not None and not t.isascii():
+    if glyphs.mixed is not None and not glyphs.beside.keys().isdisjoint(t):
         t = glyphs.mixed.sub(lambda m: glyphs.beside[m[0]], t)
     t = unicodedata.normalize("NFC", re.sub(" +\n", "\n", t).rstrip("\n "))
     return folded(t) if fold else t
@@ -120,6 +120,8 @@ def canonical_form(text: str, fold: bool = False, glyphs: _Glyphs | None = None)
 
 def folded(form: str) -> str:
     """Compatibility composition and full case folding, repeated as folding may leave what composes."""
+    if form.isascii():
+        return form.lower()
     return unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", form).casefold())
 
 
